@@ -9,7 +9,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, prepare, sorted_groups, texts_of
@@ -131,3 +131,16 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = connected_components(edges)
     nodes = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return prints.join(nodes, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs whose id is the smallest of their group, all columns; of rows that share such an id, the one
+    with the least text. Null ids stay where no other document is in their group, one for each group."""
+    groups = simhash_groups(docs, id_col, text_col)
+    ids = groups.groupBy(F.col(id_col).alias("kept"), F.col("component_id").alias("c"), "fingerprint").agg(F.count("*").alias("n"))
+    ids = materialize(ids.filter(F.coalesce(F.col("kept") == F.col("c"), F.col("c").isNull())), "kept")
+    repeated = ids.groupBy("kept").agg(F.sum("n").alias("n")).filter("n > 1").select("kept")
+    single = docs.join(ids.join(repeated, ids["kept"].eqNullSafe(repeated["kept"]), "left_anti").select("kept"), F.col(id_col).eqNullSafe(F.col("kept")), "left_semi")
+    again = docs.join(repeated, F.col(id_col).eqNullSafe(F.col("kept")), "left_semi")
+    nth = F.row_number().over(Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_first()))
+    return single.unionByName(again.withColumn("_nth", nth).filter("_nth = 1").drop("_nth"))
