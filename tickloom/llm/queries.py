@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .langid import identify
+from .lm_score import score_documents
 from .packing import pack
+from .sentencepieces import round_trip
 from .sharding import shard_assignments
 from .simhash import simhash_groups
+from .token_counts import document_token_counts
 from .toxicity import classify
 
 
@@ -16,10 +19,18 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_token_counts(table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_assignments(table(spark, sf_dir, "documents"))
 
@@ -32,5 +43,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op5_packing, op7_sharding, op8_langid, op9_toxicity)}
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op3_lm_score, op5_packing, op6_token_counts, op7_sharding, op8_langid, op9_toxicity, op10_sentencepiece)}
 ORACLE_SQL: dict[str, str] = {}
