@@ -165,7 +165,7 @@ def _np_rising(x: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where(n == 1, np.log(x), log_gamma(x + n) - log_gamma(x))
 
 
-def score_documents(docs: DataFrame, model_path: str | None = None, concentration: float = 300.0, rounds: int = 2) -> DataFrame:
+def score_documents(docs: DataFrame, model_path: str | None = None, concentration: float = 2000.0, rounds: int = 2) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every whole document.
 
     Words that are frequent (FREQUENT at most, by their share of all tokens) are scored where the document is read;

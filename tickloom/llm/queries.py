@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .embed_dedup import embedding_groups
 from .langid import identify
 from .lm_score import score_documents
 from .packing import pack
@@ -19,6 +20,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op2_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_groups(table(spark, sf_dir, "embeddings"))
+
+
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
 
@@ -47,5 +52,5 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_lm_score, op5_packing, op6_token_counts, op7_sharding, op8_langid, op9_toxicity, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_embed_dedup, op3_lm_score, op5_packing, op6_token_counts, op7_sharding, op8_langid, op9_toxicity, op10_sentencepiece)}
 ORACLE_SQL: dict[str, str] = {}
