@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import nearest
 from .common import table
 from .embed_dedup import embedding_groups
 from .langid import identify
@@ -28,6 +29,10 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -52,5 +57,5 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_embed_dedup, op3_lm_score, op5_packing, op6_token_counts, op7_sharding, op8_langid, op9_toxicity, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_embed_dedup, op3_lm_score, op4_ann, op5_packing, op6_token_counts, op7_sharding, op8_langid, op9_toxicity, op10_sentencepiece)}
 ORACLE_SQL: dict[str, str] = {}
