@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 CHUNK = 1 << 16
 
 
+def beside(df: DataFrame, one: DataFrame) -> DataFrame:
+    """Every row with the columns of a frame that is one aggregate row, sent to all tasks."""
+    return df.join(F.broadcast(one))
+
+
 def with_halo(df: DataFrame, back: int = 0, ahead: int = 0, chunk: int = CHUNK, key: str = "bar_idx") -> DataFrame:
     """Every row in its own chunk and in each chunk whose halo it is in: column `_chunk`."""
     first, last = F.expr(f"(`{key}` - {ahead}) div {chunk}"), F.expr(f"(`{key}` + {back}) div {chunk}")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tickloom.constants import BARRIER, HORIZON, LABEL_MODES
 from tickloom.functions.scan import CHUNK, with_halo
-from tickloom.operators.features import n_bars
+from tickloom.operators.features import with_length
 
 
 def first_passage(log_price: np.ndarray, own: int, horizon: int, theta: float) -> tuple[np.ndarray, np.ndarray]:
@@ -85,8 +85,8 @@ def triple_barrier(bars: DataFrame, horizon: int = HORIZON, barrier: float = BAR
 
 
 def _bounded(found: DataFrame, bars: DataFrame, horizon: int) -> DataFrame:
-    defined = F.col("bar_idx") < n_bars(bars) - horizon
-    return found.withColumn("defined", defined).select("bar_idx", F.when(F.col("defined"), F.col("side")).otherwise(0).cast("byte").alias("side"), "exit_offset", "defined")
+    defined = F.col("bar_idx") < F.col("_len") - horizon
+    return with_length(found, bars).withColumn("defined", defined).select("bar_idx", F.when(F.col("defined"), F.col("side")).otherwise(0).cast("byte").alias("side"), "exit_offset", "defined")
 
 
 def _by_join(bars: DataFrame, horizon: int, barrier: float) -> DataFrame:

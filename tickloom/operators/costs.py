@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.constants import BPS, MAKER_FEE_BPS, MAX_WAIT, MEASURED_SLIPPAGE_BPS, ORDER_SIZE, QUEUE_AHEAD, SECONDS_PER_DAY, TAKER_FEE_BPS, TICK_SIZE
-from tickloom.functions.scan import CHUNK, over_frames
+from tickloom.functions.scan import beside, over_frames
 from tickloom.sources.tape import with_divisor
 
 
@@ -60,16 +60,16 @@ def half_spread(bars: DataFrame, block: int = SECONDS_PER_DAY, least: int = 100)
     it has `least` of them and the covariance is negative; the median block counts. Half a tick of the median price is
     the floor. The last block is left out, whole or not.
     """
-    n = bars.agg(F.max("bar_idx") + 1).scalar()
+    n = bars.agg((F.max("bar_idx") + 1).alias("_len"))
     moved = over_frames(bars.select("bar_idx", F.log("price").alias("p")), lambda w: {"d": F.col("p") - F.lag("p").over(w)}, back=1)
     moved = moved.withColumn("block", F.expr(f"bar_idx div {block}"))
-    moved = moved.filter((F.col("bar_idx") % block != 0) & (F.col("d") != 0) & (F.col("block") * block < n - block))
+    moved = beside(moved, n).filter((F.col("bar_idx") % block != 0) & (F.col("d") != 0) & (F.col("block") * block < F.col("_len") - block))
     inside = Window.partitionBy("block").orderBy("bar_idx")
     pairs = moved.withColumn("before", F.lag("d").over(inside))
     each = pairs.groupBy("block").agg(F.count("*").alias("n"), F.covar_samp("before", "d").alias("cov"))
     roll = each.filter((F.col("n") >= least) & (F.col("cov") < 0)).agg(F.count("*").alias("roll_blocks"), F.percentile(2 * F.sqrt(-F.col("cov")), 0.5).alias("spread"))
     floor = bars.agg((F.lit(0.5 * TICK_SIZE / BPS) / F.percentile("price", 0.5)).alias("tick_floor_bps"))
-    both = roll.join(floor).withColumn("roll", F.col("spread") / 2 / BPS)
+    both = beside(roll, floor).withColumn("roll", F.col("spread") / 2 / BPS)
     method = F.when(F.col("roll").isNull(), "tick floor (no block resolves)").when(F.col("roll") >= F.col("tick_floor_bps"), "Roll").otherwise("tick floor (above Roll)")
     return both.select(F.greatest(F.coalesce("roll", "tick_floor_bps"), "tick_floor_bps").alias("half_spread_bps"), method.alias("method"), "roll_blocks", "tick_floor_bps")
 

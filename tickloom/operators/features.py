@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.constants import CHANNEL_SETS, EPSILON, FEATURES, HORIZON, PI_FACTOR, WINDOW_SIZE
-from tickloom.functions.scan import CHUNK, over_frames
+from tickloom.functions.scan import CHUNK, beside, over_frames
 
 
 def build_channels(bars: DataFrame, channels: str | list[str] = "raw", chunk: int = CHUNK) -> DataFrame:
@@ -67,14 +67,14 @@ def rolling_metrics(bars: DataFrame, window: int, chunk: int = CHUNK) -> DataFra
     return window_features(bars, window, chunk).select("start", F.col("realized_variance").alias("rv"), F.col("bipower_variation").alias("bpv"), "jumps", F.col("order_flow").alias("ofi"))
 
 
-def n_bars(bars: DataFrame):
-    """The series' length as a scalar column."""
-    return bars.agg(F.coalesce(F.max("bar_idx") + 1, F.lit(0))).scalar()
+def with_length(df: DataFrame, bars: DataFrame) -> DataFrame:
+    """df with the series' length in `_len`."""
+    return beside(df, bars.agg(F.coalesce(F.max("bar_idx") + 1, F.lit(0)).alias("_len")))
 
 
 def valid_windows(windows: DataFrame, bars: DataFrame, window: int = WINDOW_SIZE, horizon: int = HORIZON) -> DataFrame:
     """The windows whose label has its whole horizon in the series."""
-    return windows.filter(F.col("start") <= n_bars(bars) - (window + horizon))
+    return with_length(windows, bars).filter(F.col("start") <= F.col("_len") - (window + horizon)).drop("_len")
 
 
 def check_windows(bars: DataFrame, window: int, horizon: int) -> int:

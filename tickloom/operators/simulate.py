@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.constants import BPS, SECONDS_PER_DAY, TRADING_DAYS
+from tickloom.functions.scan import beside
 from tickloom.operators.costs import Costs, Execution
-from tickloom.operators.features import n_bars
+from tickloom.operators.features import with_length
 
 
 def signals_from_probabilities(scored: DataFrame, long_threshold: float = 0.5, short_threshold: float | None = None, gate_threshold: Column | float | None = None) -> DataFrame:
@@ -73,7 +74,6 @@ def admit(signals: DataFrame, bars: DataFrame, barriers: DataFrame, horizon: int
     one past the last whole horizon is skipped; an unfilled order does not block. The order is by bar, ties by `ordinal` where there is one. Each configuration
     in `by` is walked apart; everything else is joins.
     """
-    last = n_bars(bars) - horizon - 1
     if execution.entry == "maker":
         rows = maker_fills(signals, bars, execution)
     else:
@@ -81,7 +81,8 @@ def admit(signals: DataFrame, bars: DataFrame, barriers: DataFrame, horizon: int
         rows = signals.join(price, F.col("bar_idx") == F.col("_s")).drop("_s").withColumn("fill_bar", F.col("bar_idx"))
     exits = barriers.select(F.col("bar_idx").alias("_b"), "side", "exit_offset")
     known = barriers.select(F.col("bar_idx").alias("_k"), "defined")
-    rows = rows.join(exits, F.col("fill_bar") == F.col("_b"), "left").join(known, F.col("bar_idx") == F.col("_k")).withColumn("_last", last)
+    rows = rows.join(exits, F.col("fill_bar") == F.col("_b"), "left").join(known, F.col("bar_idx") == F.col("_k"))
+    rows = with_length(rows, bars).withColumn("_last", F.col("_len") - (horizon + 1)).drop("_len")
     raw = F.when((F.col("bar_idx") > F.col("_last")) | ~F.col("defined"), 3).when(F.col("fill_bar").isNull(), 2).when(F.col("fill_bar") > F.col("_last"), 3).otherwise(1)
     rows = rows.withColumn("_raw", raw.cast("byte")).withColumn("_free", F.coalesce(F.col("fill_bar") + F.col("exit_offset") + 1, F.lit(0)))
     rows = rows.withColumn("_n", F.col("ordinal") if "ordinal" in signals.columns else F.lit(0).cast("long"))
@@ -93,7 +94,8 @@ def admit(signals: DataFrame, bars: DataFrame, barriers: DataFrame, horizon: int
 
     slim = rows.select(*keys, "bar_idx", "_n", "direction", "_raw", "_free")
     fields = ", ".join(f"`{c}` {slim.schema[c].dataType.simpleString()}" for c in [*keys, "bar_idx", "_n", "direction"])
-    told = (slim.groupBy(*keys) if keys else slim.groupBy(F.lit(0))).applyInPandas(walk, fields + ", _status byte")
+    one = slim if keys else slim.withColumn("_one", F.lit(0))
+    told = one.groupBy(*(keys or ["_one"])).applyInPandas(walk, fields + ", _status byte")
     rows = rows.join(told, [*keys, "bar_idx", "_n", "direction"])
     status = F.element_at(F.array(*map(F.lit, ("blocked", "taken", "unfilled", "skipped"))), F.col("_status").cast("int") + 1)
     return rows.withColumn("status", status).withColumnsRenamed({"fill_bar": "entry_bar", "fill_price": "entry_price"}).drop("_b", "_k", "_last", "_raw", "_free", "_n", "_status", "defined")
@@ -145,7 +147,7 @@ def summarise(admitted: DataFrame, trades: DataFrame, costs: Costs, execution: E
     if by:
         rows = counts.join(means, list(by), "left").join(own, list(by), "left")
     else:
-        rows = counts.join(means).join(own)
+        rows = beside(beside(counts, means), own)
     zero = F.lit(0.0)
     return rows.withColumns({
         "n_days": F.coalesce("n_days", F.lit(0)), "total_return": F.coalesce("total_return", zero), "max_drawdown": F.coalesce("max_drawdown", zero),
@@ -170,7 +172,8 @@ def sharpe_interval(daily: DataFrame, by: tuple[str, ...] = (), draws: int = 100
         return pd.DataFrame([{**{k: part[k].iloc[0] for k in by}, "lo": lo, "hi": hi}])
 
     fields = "".join(f"`{k}` {daily.schema[k].dataType.simpleString()}, " for k in by)
-    return daily.groupBy(*by or [F.lit(0)]).applyInPandas(run, fields + "lo double, hi double")
+    one = daily if by else daily.withColumn("_one", F.lit(0))
+    return one.groupBy(*(by or ["_one"])).applyInPandas(run, fields + "lo double, hi double")
 
 
 def pool(admitted: DataFrame, trades: DataFrame, keep: DataFrame, round_trip_bps: float) -> DataFrame:
@@ -197,6 +200,6 @@ def pool(admitted: DataFrame, trades: DataFrame, keep: DataFrame, round_trip_bps
 
 def common_gate(pooled: DataFrame) -> DataFrame:
     """The tightest (gate, q) that every model has, rather a gate than none: one row."""
-    models = pooled.agg(F.countDistinct("model")).scalar()
-    shared = pooled.groupBy("gate", "q").agg(F.countDistinct("model").alias("n")).filter(F.col("n") == models)
+    models = pooled.agg(F.countDistinct("model").alias("_all"))
+    shared = beside(pooled.groupBy("gate", "q").agg(F.countDistinct("model").alias("n")), models).filter(F.col("n") == F.col("_all"))
     return shared.orderBy((F.col("gate") == "none").cast("int"), F.desc("q"), "gate").limit(1).select("gate", "q")

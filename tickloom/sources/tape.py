@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.functions.scan import running_sum
+from tickloom.functions.scan import beside, running_sum
 
 #: Column order of the archive's files.
 TAPE_SCHEMA = T.StructType(
@@ -39,7 +39,7 @@ def time_divisor(least: Column) -> Column:
 
 def with_divisor(tape: DataFrame) -> DataFrame:
     """The tape with its `divisor`, from one aggregate row."""
-    return tape.withColumn("divisor", tape.agg(time_divisor(F.min("time")).alias("d")).scalar())
+    return beside(tape, tape.agg(time_divisor(F.min("time")).alias("divisor")))
 
 
 def time_slice(tape: DataFrame, hours: float | None = None, skip_hours: float = 0) -> DataFrame:
@@ -48,13 +48,13 @@ def time_slice(tape: DataFrame, hours: float | None = None, skip_hours: float =
         raise ValueError("hours must be positive")
     if not hours and not skip_hours:
         return tape
-    bounds = tape.agg(F.min("time").alias("t"))
-    start = bounds.select(F.col("t") + F.lit(float(skip_hours)) * 3600 * time_divisor(F.col("t"))).scalar()
-    kept = tape.filter(F.col("time") >= start)
+    per_hour = 3600 * time_divisor(F.min("time"))
+    start = (F.min("time") + F.lit(float(skip_hours)) * per_hour).cast("long")
+    end = (F.min("time") + F.lit(float(skip_hours + (hours or 0))) * per_hour).cast("long")
+    kept = beside(tape, tape.agg(start.alias("_start"), end.alias("_end"))).filter(F.col("time") >= F.col("_start"))
     if hours is not None:
-        end = bounds.select(F.col("t") + F.lit(float(skip_hours + hours)) * 3600 * time_divisor(F.col("t"))).scalar()
-        kept = kept.filter(F.col("time") < end)
-    return kept
+        kept = kept.filter(F.col("time") < F.col("_end"))
+    return kept.drop("_start", "_end")
 
 
 def derived_tape(rows: DataFrame, key: str, stamp: str, cents: Column, qty: Column) -> DataFrame:
