@@ -139,8 +139,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     groups = simhash_groups(docs, id_col, text_col)
     ids = groups.groupBy(F.col(id_col).alias("kept"), F.col("component_id").alias("c"), "fingerprint").agg(F.count("*").alias("n"))
     ids = materialize(ids.filter(F.coalesce(F.col("kept") == F.col("c"), F.col("c").isNull())), "kept")
-    repeated = ids.groupBy("kept").agg(F.sum("n").alias("n")).filter("n > 1").select("kept")
-    single = docs.join(ids.join(repeated, ids["kept"].eqNullSafe(repeated["kept"]), "left_anti").select("kept"), F.col(id_col).eqNullSafe(F.col("kept")), "left_semi")
-    again = docs.join(repeated, F.col(id_col).eqNullSafe(F.col("kept")), "left_semi")
+    ids = ids.groupBy("kept").agg(F.sum("n").alias("_n"))
+    # merged at every size: the kept ids grow with the documents, so they are never sent to all tasks
+    held = docs.join(ids.hint("merge"), F.col(id_col).eqNullSafe(F.col("kept"))).drop("kept")
     nth = F.row_number().over(Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_first()))
-    return single.unionByName(again.withColumn("_nth", nth).filter("_nth = 1").drop("_nth"))
+    again = held.filter("_n > 1").withColumn("_nth", nth).filter("_nth = 1").drop("_nth")
+    return held.filter("_n = 1").unionByName(again).drop("_n")
