@@ -176,7 +176,7 @@ def score_documents(docs: DataFrame, model_path: str | None = None, concentratio
     import public_tokenizers
 
     spark = docs.sparkSession
-    prepare(spark)
+    prepare(spark, 4 << 20)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     words = materialize(count_words(docs), "words")
     ends = docs.filter(_train()).count()
