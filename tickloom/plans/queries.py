@@ -32,11 +32,11 @@ def _r(column: str | Column, digits: int, scale: float = 1.0, name: str | None =
 
 
 def _bars(spark: SparkSession, d: str) -> DataFrame:
-    return bs.fold_bars(tp.events_tape(spark, d), BAR)
+    return bs.fold_bars(tp.events_tape(spark, d), BAR).persist()  # a grid is small beside its tape, and read many times
 
 
 def _day_bars(spark: SparkSession, d: str) -> DataFrame:
-    return bs.fold_bars(tp.orders_tape(spark, d), 86_400)
+    return bs.fold_bars(tp.orders_tape(spark, d), 86_400).persist()
 
 
 def _features(spark: SparkSession, d: str) -> DataFrame:
@@ -288,7 +288,7 @@ def maker_fills(spark, d):
 
 def _run(spark, d, execution: co.Execution) -> tuple[DataFrame, DataFrame, DataFrame]:
     bars = _bars(spark, d)
-    told = si.admit(_signals(bars), bars, _barriers(bars), HORIZON, execution)
+    told = si.admit(_signals(bars), bars, _barriers(bars).persist(), HORIZON, execution).persist()
     return bars, told, si.price_trades(told, bars, COSTS.round_trip_bps(execution))
 
 
@@ -328,7 +328,7 @@ def _grid(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
 
     bars = _day_bars(spark, d)
     parts = sp.fold_windows(_day_windows(bars), sp.build_folds(bars, "rolling", TRAIN_MONTHS), PURGE)
-    parts = parts.withColumn("rv", F.col("realized_variance"))
+    parts = parts.withColumn("rv", F.col("realized_variance")).persist()
     cuts = gate_cuts(parts.filter("part = 'train'"), {"rv": "rv"})
     kept, keep = gated_windows(parts.filter("part = 'test'"), cuts, {"rv": "rv"})
     each = F.explode(F.array(F.struct(F.lit("momentum").alias("model"), _p_up(F.col("lookback_return")).alias("p_up")), F.struct(F.lit("reversal").alias("model"), _p_up(-F.col("lookback_return")).alias("p_up"))))
@@ -348,7 +348,7 @@ def signals_gated(spark, d):
 def _pool(spark, d) -> DataFrame:
     bars, _, signals, keep = _grid(spark, d)
     by = ("model", "fold", "gate", "q")
-    told = si.admit(signals, bars, br.triple_barrier(bars, DAY_HORIZON, DAY_BARRIER), DAY_HORIZON, TAKER, by)
+    told = si.admit(signals.persist(), bars, br.triple_barrier(bars, DAY_HORIZON, DAY_BARRIER).persist(), DAY_HORIZON, TAKER, by).persist()
     return si.pool(told, si.price_trades(told, bars, ROUND_TRIP, by), keep, ROUND_TRIP)
 
 
