@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tickloom.constants import BARRIER, HORIZON, LABEL_MODES
 from tickloom.functions.scan import CHUNK, with_halo
+from tickloom.session import reachable
 from tickloom.operators.features import with_length
 
 
@@ -58,6 +59,7 @@ def triple_barrier(bars: DataFrame, horizon: int = HORIZON, barrier: float = BAR
     if method != "descent":
         raise ValueError(f"unknown method {method!r}")
     theta = float(np.log1p(barrier))
+    reachable(bars.sparkSession)
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []

@@ -11,6 +11,7 @@ from tickloom.constants import BPS, SECONDS_PER_DAY, TRADING_DAYS
 from tickloom.functions.scan import beside
 from tickloom.operators.costs import Costs, Execution
 from tickloom.operators.features import with_length
+from tickloom.session import reachable
 
 
 def signals_from_probabilities(scored: DataFrame, long_threshold: float = 0.5, short_threshold: float | None = None, gate_threshold: Column | float | None = None) -> DataFrame:
@@ -87,6 +88,7 @@ def admit(signals: DataFrame, bars: DataFrame, barriers: DataFrame, horizon: int
     rows = rows.withColumn("_raw", raw.cast("byte")).withColumn("_free", F.coalesce(F.col("fill_bar") + F.col("exit_offset") + 1, F.lit(0)))
     rows = rows.withColumn("_n", F.col("ordinal") if "ordinal" in signals.columns else F.lit(0).cast("long"))
     keys = list(by)
+    reachable(bars.sparkSession)
 
     def walk(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["bar_idx", "_n", "direction"], kind="stable")
@@ -158,6 +160,7 @@ def summarise(admitted: DataFrame, trades: DataFrame, costs: Costs, execution: E
 def sharpe_interval(daily: DataFrame, by: tuple[str, ...] = (), draws: int = 1000, seed: int = 11) -> DataFrame:
     """(by..., lo, hi): days drawn anew with replacement, for more than 5 days; the draws are numpy's, so they repeat.
     A configuration's days, some hundreds, are one group."""
+    reachable(daily.sparkSession)
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         pnl = part.sort_values("day").pnl_bps.to_numpy()

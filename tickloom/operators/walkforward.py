@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.operators import simulate as si
+from tickloom.operators.costs import Costs, Execution
+from tickloom.operators.models import SIDE_MODELS, Trees, run_fold
+
 GATE_QUANTILES = (0.5, 0.8, 0.9)
 
 
@@ -29,3 +35,35 @@ def gated_windows(test: DataFrame, cuts: DataFrame, gates: dict[str, str]) -> tu
         every = every.unionByName(own)
     keep = every.groupBy("fold", "gate", "q").agg(F.avg(F.col("_in").cast("double")).alias("keep_frac"))
     return every.filter("_in").drop("_in"), keep
+
+
+def walk_forward(
+    bars: DataFrame, windows: DataFrame, barriers: DataFrame, horizon: int, costs: Costs, execution: Execution, trees: Trees = Trees(), side_models: tuple[str, ...] = tuple(SIDE_MODELS),
+    outside: dict[str, DataFrame] | None = None, quantiles: tuple[float, ...] = GATE_QUANTILES, margin: float = 0.0,
+) -> DataFrame:
+    """The pooled out-of-sample grid over model x gate x quantile, of windows in folds (fold, part, ...).
+
+    Models are fitted one fold after the other; their scores become one table, and signals, execution and pooling of
+    all configurations are one plan. outside: probabilities (fold, start, p_up) of other models by name.
+    """
+    from tickloom.operators.models import join_probabilities
+
+    costs = costs.with_spread(bars)
+    names = [*side_models, *(outside or {})]
+    trains, tests = [], []
+    for row in windows.select("fold").distinct().orderBy("fold").collect():  # a row for each fold
+        train, test = run_fold(windows, row["fold"], trees, side_models)
+        for name, told in (outside or {}).items():
+            test = join_probabilities(test, told.filter(F.col("fold") == row["fold"]), name)
+        trains.append(train.select("fold", "gate_trained", "gate_rv"))
+        tests.append(test.select("fold", "bar_idx", "gate_trained", "gate_rv", *(f"p_{n}" for n in names)))
+    train, test = (reduce(DataFrame.unionByName, x).persist() for x in (trains, tests))
+    gates = {"rv": "gate_rv", "trained": "gate_trained"}
+    kept, keep = gated_windows(test, gate_cuts(train, gates, quantiles), gates)
+    each = F.inline(F.array(*(F.struct(F.lit(n).alias("model"), F.col(f"p_{n}").alias("p_up")) for n in names)))
+    scored = kept.select("fold", "gate", "q", "bar_idx", each)
+    signals = si.signals_from_probabilities(scored, 0.5 + margin, 0.5 - margin).persist()
+    keep = keep.withColumn("model", F.explode(F.array(*map(F.lit, names))))
+    by = ("model", "fold", "gate", "q")
+    told = si.admit(signals, bars, barriers, horizon, execution, by).persist()
+    return si.pool(told, si.price_trades(told, bars, costs.round_trip_bps(execution), by), keep, costs.round_trip_bps(execution))

@@ -15,6 +15,8 @@ from tickloom.operators import costs as co
 from tickloom.operators import features as ft
 from tickloom.operators import geometry as ge
 from tickloom.operators import metrics as me
+from tickloom.operators import models as mo
+from tickloom.operators import patch as pt
 from tickloom.operators import simulate as si
 from tickloom.operators import splits as sp
 from tickloom.plans import sql
@@ -396,6 +398,78 @@ def bootstrap_sharpe(spark, d):
     return si.sharpe_interval(si.daily_pnl(_run(spark, d, TAKER)[2]))
 
 
+# --- models and patches ---
+
+#: Small trees, so that a query takes seconds; the operators' defaults are the study's.
+SMALL_TREES = mo.Trees(rounds=5, depth=3, least=8)
+PATCH = pt.PatchConfig(n_channels=2, seq_len=WINDOW, patch_len=8, stride=4, d_model=16, n_heads=2, n_layers=2, d_ff=32)
+PATCH_CHANNELS = ("log_return", "ofi")
+
+
+def _model_windows(spark, d, scheme: str = "holdout") -> tuple[DataFrame, DataFrame]:
+    bars = _day_bars(spark, d)
+    held = ft.valid_windows(ft.window_features(bars, DAY_WINDOW), bars, DAY_WINDOW, DAY_HORIZON)
+    told = br.triple_barrier(bars, DAY_HORIZON, DAY_BARRIER).select("bar_idx", ((F.col("side") != 0) & F.col("defined")).alias("touched"), (F.col("side") > 0).cast("int").alias("y"))
+    return bars, sp.fold_windows(held.join(told, "bar_idx"), sp.build_folds(bars, scheme, TRAIN_MONTHS), PURGE).persist()
+
+
+def _fold_scores(spark, d, side_models: tuple[str, ...]) -> tuple[DataFrame, str, DataFrame, DataFrame]:
+    bars, windows = _model_windows(spark, d)
+    fold = windows.select("fold").first()[0]
+    return bars, fold, *mo.run_fold(windows, fold, SMALL_TREES, side_models)
+
+
+def side_logistic(spark, d):
+    _, _, _, test = _fold_scores(spark, d, ("logistic_ofi", "logistic_7"))
+    touched = test.filter("touched")
+    return reduce(DataFrame.unionByName, [me.auc(touched, score=f"p_{m}").withColumn("model", F.lit(m)) for m in ("logistic_ofi", "logistic_7")])
+
+
+def gate_trees(spark, d):
+    _, _, _, test = _fold_scores(spark, d, ())
+    held = test.withColumn("t", F.col("touched").cast("int"))
+    return reduce(DataFrame.unionByName, [me.auc(held, label="t", score=g).withColumn("gate", F.lit(g)) for g in ("gate_trained", "gate_rv")])
+
+
+def walkforward_grid(spark, d):
+    from tickloom.operators.walkforward import walk_forward
+
+    bars, windows = _model_windows(spark, d)
+    barriers = br.triple_barrier(bars, DAY_HORIZON, DAY_BARRIER).persist()
+    return walk_forward(bars, windows, barriers, DAY_HORIZON, COSTS, TAKER, SMALL_TREES, ("logistic_7", "trees"))
+
+
+def patch_instance_norm(spark, d):
+    c = ft.build_channels(_bars(spark, d), "raw")
+    z = pt.instance_norm(c, PATCH_CHANNELS, WINDOW)
+    return z.select("start", _r("log_return_mean", 3, 1e6), _r("log_return_std", 3, 1e6), _r("log_return_z", 4), _r("ofi_mean", 4), _r("ofi_std", 4), _r("ofi_z", 4))
+
+
+def patchify(spark, d):
+    c = ft.build_channels(_bars(spark, d), "raw")
+    held = pt.window_arrays(c, "log_return", WINDOW).select("start", F.posexplode(pt.patches(F.col("values"), PATCH.patch_len, PATCH.stride)).alias("patch", "v"))
+    return held.select("start", "patch", F.size("v").alias("n"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x) * 1e4, 4).alias("total"), F.round(F.element_at("v", -1) * 1e4, 4).alias("last"))
+
+
+def patch_aux_stats(spark, d):
+    c = ft.build_channels(_bars(spark, d), "raw")
+    rows = pt.aux_stats(pt.window_stats(c, PATCH_CHANNELS, WINDOW), PATCH_CHANNELS)
+    scale = F.when(F.col("aux") == "log_return_mean", 1e6).otherwise(1.0)
+    return rows.select("aux", F.round(F.col("mean") * scale, 4).alias("mean"), F.round(F.col("std") * scale, 4).alias("std"))
+
+
+def patch_scores(spark, d):
+    bars = _bars(spark, d)
+    return pt.predict(ft.build_channels(bars, "raw"), PATCH_CHANNELS, _valid(bars).select("start"), pt.init_weights(PATCH), PATCH)
+
+
+def probability_exchange(spark, d):
+    bars, windows = _model_windows(spark, d)
+    test = windows.filter("part = 'test'").select("fold", "start", "y")
+    told = test.select("fold", "start", _p_up(F.col("y") - 0.5).alias("p_up"))
+    return mo.join_probabilities(test, told, "outside").groupBy("fold").agg(F.count("*").alias("n"), F.round(F.avg("p_outside"), 6).alias("mean"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -403,6 +477,7 @@ QUERIES = {
         windows_valid, triple_barrier, triple_barrier_join, targets_side, targets_gate, label_mix, training_matrix, split_purged, sequence_dataset, month_blocks, fold_masks, fold_rows_touched, month_slice,
         half_spread_roll, slippage_sweep, slippage_summary, slippage_hours, round_trip_costs, required_hit_rate, breakeven_curve, geometry_grid, geometry_shortlist, signals_momentum, maker_fills,
         backtest_taker, backtest_maker, backtest_status, backtest_summary, backtest_daily, drawdown, gate_thresholds, signals_gated, pooled_grid, common_gate, auc_exact, binary_metrics, threshold_sweep, bootstrap_auc, bootstrap_sharpe,
+        side_logistic, gate_trees, walkforward_grid, patch_instance_norm, patchify, patch_aux_stats, patch_scores, probability_exchange,
     )
 }
 QUERIES |= {f"folds_{s}": _folds_query(s) for s in ("anchored", "rolling", "holdout")}

@@ -103,6 +103,7 @@ m_ok AS (SELECT * FROM m_sig WHERE ok),
 m_hop AS MATERIALIZED (SELECT a.*, b.bar_idx AS nxt FROM m_ok a ASOF LEFT JOIN m_ok b ON a.free <= b.bar_idx),
 m_path AS (SELECT min(bar_idx) AS bar_idx FROM m_ok UNION ALL SELECT nxt FROM m_path JOIN m_hop USING (bar_idx) WHERE nxt IS NOT NULL),
 m_taken AS (SELECT m_ok.* FROM m_path JOIN m_ok USING (bar_idx)),
+wstats AS (SELECT * FROM (SELECT bar_idx - {WINDOW - 1} AS start, bar_idx, r, ofi, avg(r) OVER w AS rm, stddev_pop(r) OVER w AS rs, avg(ofi) OVER w AS om, stddev_pop(ofi) OVER w AS os FROM chan WINDOW w AS (ORDER BY bar_idx ROWS {WINDOW - 1} PRECEDING)) WHERE start >= 0),
 scored AS (SELECT start, CASE WHEN side > 0 THEN 1 ELSE 0 END AS y, round(ret * 1e4, 2) AS score, CASE WHEN ret > 0 THEN 0.7 WHEN ret < 0 THEN 0.3 ELSE 0.5 END AS p FROM valid JOIN tb USING (bar_idx) WHERE side <> 0 AND defined),
 runs0 AS (SELECT *, CASE WHEN maker = lag(maker) OVER (ORDER BY time, trade_id) THEN 0 ELSE 1 END AS edge FROM tape),
 runs AS (SELECT *, sum(edge) OVER (ORDER BY time, trade_id ROWS UNBOUNDED PRECEDING) AS run FROM runs0),
@@ -222,6 +223,9 @@ ORACLE_SQL = {
         "drawdown": "SELECT day, round(eq, 6) + 0 AS equity, round(dd, 6) + 0 AS drawdown FROM t_dd",
         "pooled_grid": _POOL,
         "common_gate": "SELECT gate, q FROM (SELECT gate, q, count(DISTINCT model) AS n FROM g_trades GROUP BY 1, 2) WHERE n = 2 ORDER BY CASE WHEN gate = 'none' THEN 1 ELSE 0 END, q DESC LIMIT 1",
+        "patch_instance_norm": f"SELECT start, round(rm * 1e6, 3) + 0 AS log_return_mean, round(rs * 1e6, 3) AS log_return_std, round((r - rm) / (rs + 1e-8), 4) + 0 AS log_return_z, round(om, 4) + 0 AS ofi_mean, round(os, 4) AS ofi_std, round((ofi - om) / (os + 1e-8), 4) + 0 AS ofi_z FROM wstats",
+        "patchify": "SELECT start, CAST(i AS INT) AS patch, CAST(count(*) AS INT) AS n, round(sum(r) * 1e4, 4) + 0 AS total, round(arg_max(r, j) * 1e4, 4) + 0 AS last FROM (SELECT w.start, i, j, c.r FROM wstats w, (SELECT unnest(generate_series(0, 6)) AS i), (SELECT unnest(generate_series(0, 7)) AS j), chan c WHERE c.bar_idx = w.start + least(i * 4 + j, 29)) GROUP BY 1, 2",
+        "patch_aux_stats": "SELECT aux, round(avg(x), 4) + 0 AS mean, round(greatest(stddev_pop(x), CASE WHEN aux = 'log_return_mean' THEN 1.0 ELSE 1e-6 END), 4) AS std FROM (SELECT 'log_return_mean' AS aux, rm * 1e6 AS x FROM wstats UNION ALL SELECT 'ofi_mean', om FROM wstats UNION ALL SELECT 'log_return_logstd', ln(rs + 1e-8) FROM wstats UNION ALL SELECT 'ofi_logstd', ln(os + 1e-8) FROM wstats) GROUP BY 1",
         "auc_exact": "SELECT round(sum(p * (below + n / 2.0)) / nullif(sum(p) * sum(n), 0), 8) AS auc, CAST(sum(p) AS BIGINT) AS n_pos, CAST(sum(n) AS BIGINT) AS n_neg FROM (SELECT score, p, n, coalesce(sum(n) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM (SELECT score, sum(y) AS p, count(*) - sum(y) AS n FROM scored GROUP BY 1))",
         "binary_metrics": f"SELECT {_metrics('0.5')} FROM scored",
         "threshold_sweep": f"SELECT CAST(t AS DOUBLE) AS threshold, {_metrics('t')} FROM scored, (VALUES (0.3::DOUBLE), (0.4), (0.5), (0.6), (0.7), (0.8), (0.9)) x(t) GROUP BY 1",
