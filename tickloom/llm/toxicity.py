@@ -124,7 +124,7 @@ def fit(texts: list[bytes], labels: list[int], base_words: int = 1500, rounds: i
     return Model(ordinary, ordinary + b" ".join(marks) + b" ", best[1], best[2])
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = 4000, max_bytes: int = 1 << 18, folds: int = 5) -> tuple[list[bytes], list[int]]:
+def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = 2500, max_bytes: int = 1 << 18, folds: int = 5) -> tuple[list[bytes], list[int]]:
     """Texts and labels of at most per_class documents of each class whose crc32(doc_id) mod folds is not 0, whole, of
     at most max_bytes each; chosen by a hash of the id."""
     each = labels.filter("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
