@@ -44,13 +44,16 @@ def rotation(nodes: DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return axes[:, ::-1], np.sqrt(np.maximum(values[::-1], 0))
 
 
-def _link(q: np.ndarray, c: np.ndarray, uq: np.ndarray, uc: np.ndarray, same: np.ndarray, block: int, blocks: list[slice], budgets: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+def _link(q: np.ndarray, c: np.ndarray, uq: np.ndarray, uc: np.ndarray, nq: np.ndarray, nc: np.ndarray, block: int, blocks: list[slice], budgets: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (row of q, row of c) that link and whose first block within its share is this one."""
     s = blocks[block]
     a, b = uq[:, s], uc[:, s]
-    near = (a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * (a @ b.T) <= budgets[block] + 1e-7
-    near &= ~same
-    i, j = np.nonzero(near)
+    # one product gives all squared distances in single precision; what may be near is checked exactly below
+    left = np.column_stack([a, (a * a).sum(1), np.ones(len(a))]).astype(np.float32)
+    right = np.column_stack([-2 * b, np.ones(len(b)), (b * b).sum(1)]).astype(np.float32)
+    i, j = np.divmod(np.flatnonzero((left @ right.T).ravel() <= np.float32(budgets[block] + 1e-5)), len(b))
+    other = nq[i] != nc[j]
+    i, j = i[other], j[other]
     out_i, out_j = [], []
     for lo in range(0, len(i), 1 << 16):
         x, y = i[lo : lo + (1 << 16)], j[lo : lo + (1 << 16)]
@@ -144,7 +147,7 @@ def embedding_links(nodes: DataFrame, n: int, dim: int, cosine: float, n_blocks:
             step = max(1, PAIRS // max(1, len(offers)))
             for lo in range(0, len(asks), step):
                 rows = asks[lo : lo + step]
-                i, j = _link(x[rows], x[offers], u[rows], u[offers], node[rows][:, None] == node[offers], block, blocks, budgets, cosine)
+                i, j = _link(x[rows], x[offers], u[rows], u[offers], node[rows], node[offers], block, blocks, budgets, cosine)
                 if not len(i):
                     continue
                 links = np.bincount(i, size[offers][j], len(rows)).astype(np.int64)
