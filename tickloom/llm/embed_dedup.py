@@ -44,15 +44,16 @@ def rotation(nodes: DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return axes[:, ::-1], np.sqrt(np.maximum(values[::-1], 0))
 
 
-def _link(q: np.ndarray, c: np.ndarray, uq: np.ndarray, uc: np.ndarray, nq: np.ndarray, nc: np.ndarray, block: int, blocks: list[slice], budgets: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (row of q, row of c) that link and whose first block within its share is this one."""
+def _link(q: np.ndarray, c: np.ndarray, uq: np.ndarray, uc: np.ndarray, nq: np.ndarray, nc: np.ndarray, home: np.ndarray, block: int, blocks: list[slice], budgets: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row of q, row of c) that link and whose first block within its share is this one; of two vectors whose
+    home is the same cell, the smaller node asks."""
     s = blocks[block]
     a, b = uq[:, s], uc[:, s]
     # one product gives all squared distances in single precision; what may be near is checked exactly below
     left = np.column_stack([a, (a * a).sum(1), np.ones(len(a))]).astype(np.float32)
     right = np.column_stack([-2 * b, np.ones(len(b)), (b * b).sum(1)]).astype(np.float32)
     i, j = np.divmod(np.flatnonzero((left @ right.T).ravel() <= np.float32(budgets[block] + 1e-5)), len(b))
-    other = nq[i] != nc[j]
+    other = ~home[j] | (nq[i] < nc[j])
     i, j = i[other], j[other]
     out_i, out_j = [], []
     for lo in range(0, len(i), 1 << 16):
@@ -91,7 +92,8 @@ def embedding_links(nodes: DataFrame, n: int, dim: int, cosine: float, n_blocks:
     Unit vectors with cosine c differ by 2 - 2c in squared distance. It is shared among the blocks in proportion to
     their spread; a pair that links stays within its share in one block at least, whatever the rotation. There, each
     vector looks for partners in its own cell of a grid over the block's leading coordinates, to which all vectors
-    within the share's radius are copied. A pair counts in the first block that has it, so nothing is counted twice.
+    of later cells within the share's radius are copied: of two cells, the earlier one compares. A pair counts in the
+    first block that has it, so nothing is counted twice. Vectors travel as bytes of their own precision.
     """
     axes, spread = rotation(nodes, dim)
     n_blocks = max(1, min(n_blocks, dim))
@@ -105,13 +107,17 @@ def embedding_links(nodes: DataFrame, n: int, dim: int, cosine: float, n_blocks:
     radius = np.sqrt(budgets) + 1e-9
     sides = [[max(2 * r, 4 * spread[j] * (TILE / max(n, 1)) ** (1 / GRID)) for j in range(s.start, min(s.stop, s.start + GRID))] for r, s in zip(radius, blocks)]
 
+    short = np.float32 if nodes.schema["vec"].dataType.elementType.simpleString() == "float" else np.float64
+
     def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            u = _unit(matrix(batch.column("vec"), dim)) @ axes
+            x = matrix(batch.column("vec"), dim)
+            packed = pa.array([r.tobytes() for r in x.astype(short)], pa.binary())
+            u = _unit(x) @ axes
             rows = np.arange(batch.num_rows)
             for b, s in enumerate(blocks):
                 cell, at = np.zeros(len(rows), np.int64), rows
-                home = np.ones(len(rows), bool)
+                home = np.ones(len(rows), bool)  # so far; what is not has gone to an earlier cell
                 for k, side in enumerate(sides[b]):
                     x = u[at, s.start + k]
                     own = np.floor(x / side).astype(np.int64)
@@ -119,12 +125,13 @@ def embedding_links(nodes: DataFrame, n: int, dim: int, cosine: float, n_blocks:
                     for step in (-1, 0, 1):
                         reached = own + step
                         ok = (x + radius[b] >= reached * side) & (x - radius[b] < (reached + 1) * side) if step else np.ones(len(x), bool)
+                        if step > 0:
+                            ok &= ~home
                         parts.append((cell[ok] * 4096 + reached[ok] + 2048, at[ok], home[ok] & (step == 0)))
                     cell, at, home = (np.concatenate(p) for p in zip(*parts))
-                yield pa.record_batch([pa.array(np.full(len(at), b, np.int32)), pa.array(cell), pa.array(home), batch.column("node").take(pa.array(at)), batch.column("size").take(pa.array(at)), batch.column("vec").take(pa.array(at))], names=["b", "cell", "home", "node", "size", "vec"])
+                yield pa.record_batch([pa.array(np.full(len(at), b, np.int32)), pa.array(cell), pa.array(home), batch.column("node").take(pa.array(at)), batch.column("size").take(pa.array(at)), packed.take(pa.array(at))], names=["b", "cell", "home", "node", "size", "vec"])
 
-    kind = nodes.schema["vec"].dataType.simpleString()
-    placed = nodes.select("node", "size", "vec").mapInArrow(copies, f"b int, cell long, home boolean, node long, size long, vec {kind}")
+    placed = nodes.select("node", "size", "vec").mapInArrow(copies, "b int, cell long, home boolean, node long, size long, vec binary")
     placed = materialize(placed, "cells")
     counts = placed.groupBy("b", "cell").agg(F.sum(F.col("home").cast("long")).alias("nq"), F.count("*").alias("nc")).filter("nq > 0 and nc > 1")
     counts = counts.select("b", "cell", F.ceil(F.col("nq") / TILE).cast("int").alias("nq"), F.ceil(F.col("nc") / TILE).cast("int").alias("nc"))
@@ -134,28 +141,29 @@ def embedding_links(nodes: DataFrame, n: int, dim: int, cosine: float, n_blocks:
     offered = F.transform(F.sequence(F.lit(0), F.col("nq") - 1), lambda i: F.struct(i.alias("i"), F.col("j0").alias("j"), F.lit(False).alias("q"), F.lit(True).alias("c")))
     offered = F.when(F.col("home"), F.filter(offered, lambda x: x["i"] != F.col("i0"))).otherwise(offered)
     every = F.concat(F.coalesce(asked, F.array().cast("array<struct<i:int,j:int,q:boolean,c:boolean>>")), offered)
-    tiles = tiles.select("b", "cell", "node", "size", "vec", F.explode(every).alias("t")).select("b", "cell", "t.i", "t.j", "t.q", "t.c", "node", "size", "vec")
+    tiles = tiles.select("b", "cell", "home", "node", "size", "vec", F.explode(every).alias("t")).select("b", "cell", "t.i", "t.j", "t.q", "t.c", "home", "node", "size", "vec")
     by = ["b", "cell", "i", "j"]
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches, by):
             node, size = group.column("node").to_numpy(), group.column("size").to_numpy()
-            x = matrix(group.column("vec"), dim)
+            x = np.frombuffer(b"".join(group.column("vec").to_pylist()), short).astype(float).reshape(-1, dim)
             u = _unit(x) @ axes
+            home = group.column("home").to_numpy()
             asks, offers = np.flatnonzero(group.column("q").to_numpy()), np.flatnonzero(group.column("c").to_numpy())
             block = group.column("b")[0].as_py()
             step = max(1, PAIRS // max(1, len(offers)))
             for lo in range(0, len(asks), step):
                 rows = asks[lo : lo + step]
-                i, j = _link(x[rows], x[offers], u[rows], u[offers], node[rows], node[offers], block, blocks, budgets, cosine)
+                i, j = _link(x[rows], x[offers], u[rows], u[offers], node[rows], node[offers], home[offers], block, blocks, budgets, cosine)
                 if not len(i):
                     continue
-                links = np.bincount(i, size[offers][j], len(rows)).astype(np.int64)
+                i, j = rows[i], offers[j]
+                links = (np.bincount(i, size[j], len(node)) + np.bincount(j, size[i], len(node))).astype(np.int64)
                 some = np.flatnonzero(links)
-                a, b = _forest(node[rows][i], node[offers][j])
-                nodes_out = np.concatenate([node[rows][some], a])
+                a, b = _forest(node[i], node[j])
                 k, m = len(some), len(a)
-                yield pa.record_batch([pa.array(nodes_out), pa.array([*links[some].tolist(), *[None] * m], pa.int64()), pa.array([*[None] * k, *b.tolist()], pa.int64())], names=["node", "links", "other"])
+                yield pa.record_batch([pa.array(np.concatenate([node[some], a])), pa.array([*links[some].tolist(), *[None] * m], pa.int64()), pa.array([*[None] * k, *b.tolist()], pa.int64())], names=["node", "links", "other"])
 
     return tiles.repartition(*by).sortWithinPartitions(*by).mapInArrow(join, "node long, links long, other long")
 
