@@ -139,7 +139,7 @@ def descend(graph: DataFrame, codes: DataFrame, scale: float, dim: int, k: int,
     return _least(graph.unionByName(fresh.filter("node != nbr")), k)
 
 
-def neighbour_graph(nodes: DataFrame, dim: int, k: int = 24, rounds: int = 4, lines: int = 4, reverse: int = 24, give: int = 6, seed: int = 0) -> DataFrame:
+def neighbour_graph(nodes: DataFrame, dim: int, k: int = 24, rounds: int = 5, lines: int = 4, reverse: int = 24, give: int = 6, seed: int = 0) -> DataFrame:
     """(node, nbr, d) with about the k nearest of every node of (node, vec)."""
     codes, scale = _short(nodes, dim)
     codes = materialize(codes, "codes")
@@ -149,7 +149,7 @@ def neighbour_graph(nodes: DataFrame, dim: int, k: int = 24, rounds: int = 4, li
     return graph
 
 
-def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, dim: int, width: int = 96, rounds: int = 5) -> DataFrame:
+def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, dim: int, width: int = 96, rounds: int = 8) -> DataFrame:
     """(query, node, d): greedy search from each query (query, node, vec), where node is its own place in the graph.
 
     A round takes the `width` nearest nodes seen that were not opened yet, and looks at all their neighbours, in both
