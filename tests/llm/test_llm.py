@@ -72,6 +72,13 @@ def test_simhash_against_brute_force(docs, none):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({ids[x] for x in label}) and kept.columns == docs.columns
 
 
+def test_keep_one_of_each_text_without_an_id(spark):
+    texts = {"a": "some quiet words about a river and its banks", "b": "entirely different matter of trains that leave late", "c": "third text on bread flour salt and slow ovens"}
+    rows = [(None, texts[k], None, "s", None, None) for k in "abcab"] + [(None, None, None, "s", None, None), (None, "", None, "s", None, None), (7, texts["c"], None, "s", None, None)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter([(None, texts["a"]), (None, texts["b"]), (None, None), (7, texts["c"])])
+
+
 @pytest.mark.parametrize("n", [1, 1000, 10**9])
 @pytest.mark.parametrize("tile", [3, 2048])
 def test_near_edges_lose_no_link(spark, n, tile):

@@ -11,6 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import materialize, prepare, sorted_groups, texts_of
 from .components import connected_components
@@ -135,13 +136,25 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose id is the smallest of their group, all columns; of rows that share such an id, the one
-    with the least text. Null ids stay where no other document is in their group, one for each group."""
+    with the least text. Of rows with null ids, one stays for each fingerprint that no row with an id has, that with
+    the least text."""
     groups = simhash_groups(docs, id_col, text_col)
     ids = groups.groupBy(F.col(id_col).alias("kept"), F.col("component_id").alias("c"), "fingerprint").agg(F.count("*").alias("n"))
     ids = materialize(ids.filter(F.coalesce(F.col("kept") == F.col("c"), F.col("c").isNull())), "kept")
-    ids = ids.groupBy("kept").agg(F.sum("n").alias("_n"))
+    alone = ids.filter("c is null").select("fingerprint")
+    ids = ids.filter("kept is not null").groupBy("kept").agg(F.sum("n").alias("_n"))
     # merged at every size: the kept ids grow with the documents, so they are never sent to all tasks
-    held = docs.join(ids.hint("merge"), F.col(id_col).eqNullSafe(F.col("kept"))).drop("kept")
+    held = docs.join(ids.hint("merge"), F.col(id_col) == F.col("kept")).drop("kept")
     nth = F.row_number().over(Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_first()))
     again = held.filter("_n > 1").withColumn("_nth", nth).filter("_nth = 1").drop("_nth")
-    return held.filter("_n = 1").unionByName(again).drop("_n")
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = pa.array([f"{fingerprint(t):016x}" for t in texts_of(batch)], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, fp], names=[*batch.schema.names, "fingerprint"])
+
+    # least in each partition first, so a text that very many rows hold goes to no single task
+    nameless = docs.filter(F.col(id_col).isNull()).select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
+    nameless = nameless.mapInArrow(mark, StructType([*nameless.schema, StructField("fingerprint", StringType())]))
+    nameless = nameless.groupBy("fingerprint").agg(F.min_by("row", F.struct("text")).alias("row")).join(alone.hint("merge"), "fingerprint", "left_semi")
+    return held.filter("_n = 1").unionByName(again).drop("_n").unionByName(nameless.select("row.*"))
