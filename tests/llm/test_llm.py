@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tickloom.llm import ann, bpe, embed_dedup, langid, lm_score, packing, sentencepieces, sharding, simhash, token_counts, toxicity
+from tickloom.llm import ann, bpe, embed_dedup, langid, lm_score, near_text, packing, sentencepieces, sharding, simhash, token_counts, toxicity
 from tickloom.llm.components import connected_components
 from tickloom.llm.lattice import Pieces, by_length, expected_counts, forward
 
@@ -79,6 +79,36 @@ def test_keep_one_of_each_text_without_an_id(spark):
     assert Counter((r.doc_id, r.text) for r in kept) == Counter([(None, texts["a"]), (None, texts["b"]), (None, None), (7, texts["c"])])
 
 
+@pytest.mark.parametrize("tile", [2, 1024])
+def test_near_texts_against_brute_force(spark, tile):
+    rng = np.random.default_rng(5)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = [None, "", "one", "One ", "two words"]
+    for n, changed in [(100, 1), (200, 2), (400, 3), (50, 1), (60, 3), (200, 6)]:
+        for _ in range(3):
+            base = list(rng.choice(vocabulary, n))
+            texts.append(" ".join(base))
+            for _ in range(3):
+                base = list(base)
+                for k in rng.choice(n, changed, replace=False):
+                    base[k] = str(rng.choice(vocabulary))
+                texts.append(" ".join(base))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else {()} for t in texts]
+    near = np.array([[len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets])
+    label = plain_groups(near)
+    fp = np.array([plain_fingerprint(t) for t in texts], np.uint64)
+    assert (near & (np.bitwise_count(fp[:, None] ^ fp) > 3)).any()  # op1's rule would keep both
+    rows = [(i if i % 4 else None, t, None, "s", None, None) for i, t in enumerate(texts)]
+    got = near_text.keep_one(spark.createDataFrame(rows, SCHEMA), tile=tile).collect()
+    want = []
+    for k in set(label):
+        ids = [i for i in np.flatnonzero(label == k).tolist()]
+        named = [i for i in ids if i % 4]
+        want.append((named[0], texts[named[0]]) if named else (None, min((texts[i] for i in ids), key=lambda t: t or "")))
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(want)
+    assert near_text.keep_one(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
 @pytest.mark.parametrize("n", [1, 1000, 10**9])
 @pytest.mark.parametrize("tile", [3, 2048])
 def test_near_edges_lose_no_link(spark, n, tile):
