@@ -216,6 +216,41 @@ def test_lm_score_against_plain_counts(docs, none):
     assert lm_score.score_documents(none).count() == 0
 
 
+def test_lm_score_of_long_unseen_tokens(spark):
+    import public_tokenizers
+
+    seen = [(i, "the cat sat on the mat") for i in range(40)]
+    rng = np.random.default_rng(6)
+    odd = ["".join(rng.choice(list("qxzjkvw"), n)) for n in (150, 400, 3000)] + ["語" * 40, "語" * 41]
+    held = [i for i in range(40, 400) if zlib.crc32(str(i).encode()) % 7 == 2]
+    texts = [*odd, f"{odd[0]} {odd[0]} {odd[0]}"]
+    df = spark.createDataFrame(seen + list(zip(held, texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm_score.score_documents(df).collect()}
+
+    train = [i for i, _ in seen if zlib.crc32(str(i).encode()) % 7 != 2]
+    c = Counter({"the": 2 * len(train)} | {w: len(train) for w in ("cat", "sat", "on", "mat")})
+    n, new, a = sum(c.values()) + len(train), 1e-3, 2000.0
+    words = spark.createDataFrame([(w, c[w]) for w in c], "word string, c long")
+    model = lm_score.learn(words, lm_score.vocabulary(public_tokenizers.path("piece_bpe_32k.model")), len(train))
+    table = dict(zip(model.names, model.logp))
+    longest = max(map(len, table))
+
+    def plain(word):
+        w = "▁" + word
+        best = [0.0] + [-math.inf] * len(w)
+        for j in range(1, len(w) + 1):
+            single = float(model.fallback(np.array([ord(w[j - 1])]))[0])
+            best[j] = float(np.logaddexp.reduce([best[j - 1] + single] + [best[i] + table[w[i:j]] for i in range(max(0, j - longest), j) if w[i:j] in table]))
+        return best[-1]
+
+    end = math.log(a * ((1 - new) * len(train) / n + new * model.end))
+    for i, t in zip(held, texts):
+        w = t.split()
+        p = math.log(a) + math.log(new) + plain(w[0])
+        log = p + end + sum(math.log(k) for k in range(1, len(w))) - sum(math.log(a + k) for k in range(len(w) + 1))
+        assert got[i] == pytest.approx(log / math.log(10), rel=1e-9)
+
+
 def test_batch_words_is_bytes_split():
     import pyarrow as pa
 

@@ -147,22 +147,24 @@ def learn(words: DataFrame, start: Subwords, n_ends: int, rounds: int = 2) -> Su
     return model
 
 
-def _rising(x: Column, n: Column) -> Column:
-    """log of x (x+1) ... (x+n-1), for x > 0."""
+def _rising(log_x: Column, n: Column) -> Column:
+    """log of x (x+1) ... (x+n-1), from log x; x itself may be too small for a double."""
 
     def log_gamma(v: Column) -> Column:  # Stirling's series, five steps up
         y = v + 5.0
         return (y - 0.5) * F.log(y) - y + 1 / (12.0 * y) - 1 / (360.0 * y * y * y) - F.log(v * (v + 1) * (v + 2) * (v + 3) * (v + 4))
 
-    return F.when(n == 1, F.log(x)).otherwise(log_gamma(x + n) - log_gamma(x))
+    x = F.exp(log_x)
+    return F.when(n == 1, log_x).otherwise(log_x + log_gamma(x + n) - log_gamma(x + 1.0))
 
 
-def _np_rising(x: np.ndarray, n: np.ndarray) -> np.ndarray:
+def _np_rising(log_x: np.ndarray, n: np.ndarray) -> np.ndarray:
     def log_gamma(v):
         y = v + 5.0
         return (y - 0.5) * np.log(y) - y + 1 / (12.0 * y) - 1 / (360.0 * y * y * y) - np.log(v * (v + 1) * (v + 2) * (v + 3) * (v + 4))
 
-    return np.where(n == 1, np.log(x), log_gamma(x + n) - log_gamma(x))
+    x = np.exp(log_x)
+    return np.where(n == 1, log_x, log_x + log_gamma(x + n) - log_gamma(x + 1.0))
 
 
 def score_documents(docs: DataFrame, model_path: str | None = None, concentration: float = 2000.0, rounds: int = 2) -> DataFrame:
@@ -187,18 +189,21 @@ def score_documents(docs: DataFrame, model_path: str | None = None, concentratio
     model = learn(words, vocabulary(model_path or public_tokenizers.path("piece_bpe_32k.model")), ends, rounds)
     base_of = float(n + (v + 1))
     a = float(concentration)
+    log_a = float(np.log(a))
 
     def marginals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.column("word").to_pylist()
             c = batch.column("c").to_numpy()
-            share = (1 - new) * c / max(n, 1) + new * np.exp(model.marginals(names))
+            with np.errstate(divide="ignore"):
+                seen = np.log((1 - new) * c / max(n, 1))
+            share = np.logaddexp(seen, np.log(new) + model.marginals(names))
             hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in names), np.uint64, len(names)).view(np.int64)
-            yield pa.record_batch([batch.column("word"), pa.array(hashes), batch.column("c"), pa.array(np.maximum(share, 1e-300))], names=["word", "h", "c", "share"])
+            yield pa.record_batch([batch.column("word"), pa.array(hashes), batch.column("c"), pa.array(share)], names=["word", "h", "c", "log_share"])
 
-    scored = materialize(words.mapInArrow(marginals, "word string, h long, c long, share double"), "word-shares")
-    top = scored.filter(F.col("c") > max(1, n // FREQUENT)).select("word", "c", "share").toPandas()
-    frequent = dict(zip(top.word, zip(top.c.tolist(), top.share.tolist())))
+    scored = materialize(words.mapInArrow(marginals, "word string, h long, c long, log_share double"), "word-shares")
+    top = scored.filter(F.col("c") > max(1, n // FREQUENT)).select("word", "c", "log_share").toPandas()
+    frequent = dict(zip(top.word, zip(top.c.tolist(), top.log_share.tolist())))
     p_end = (1 - new) * ends / max(n, 1) + new * model.end
     end_row = (int(ends > 0), float(np.log10((ends + 1) / base_of)), float(np.log(a * p_end)))
 
@@ -215,7 +220,7 @@ def score_documents(docs: DataFrame, model_path: str | None = None, concentratio
             at = [frequent.get(w) for w in distinct]
             here = np.array([x is not None for x in at], bool)
             c = np.array([x[0] if x else 0 for x in at], float)
-            share = np.array([x[1] if x else 1.0 for x in at], float)
+            log_share = np.array([x[1] if x else 0.0 for x in at], float)
             hashes = np.fromiter((0 if x else xxhash.xxh64_intdigest(w) for w, x in zip(distinct, at)), np.uint64, len(distinct)).view(np.int64)
             mine = here[word] if len(word) else np.zeros(0, bool)
             r, w, k = row[mine], word[mine], tf[mine]
@@ -230,7 +235,7 @@ def score_documents(docs: DataFrame, model_path: str | None = None, concentratio
             yield pa.record_batch(
                 [
                     pa.array(number + ids), empty, empty, batch.column("doc_id"), pa.array(n_tokens.astype(np.int64)), pa.array((total(k) + end_row[0]).astype(np.int64)),
-                    pa.array(total(k * np.log10((c[w] + 1) / base_of)) + end_row[1]), pa.array(total(_np_rising(a * share[w], k)) + end_row[2]),
+                    pa.array(total(k * np.log10((c[w] + 1) / base_of)) + end_row[1]), pa.array(total(_np_rising(log_a + log_share[w], k)) + end_row[2]),
                 ],
                 names=names,
             )
@@ -241,13 +246,13 @@ def score_documents(docs: DataFrame, model_path: str | None = None, concentratio
 
     parts = docs.mapInArrow(read, "row long, h long, tf long, doc_id long, n_tokens long, n_known long, base double, score double")
     parts = materialize(parts, "document-words")
-    rare = scored.filter(F.col("c") <= max(1, n // FREQUENT)).select("h", "c", "share")
+    rare = scored.filter(F.col("c") <= max(1, n // FREQUENT)).select("h", "c", "log_share")
     joined = parts.filter("h is not null").select("row", "h", "tf").join(rare, "h")
-    joined = joined.select("row", F.when(F.col("c") > 0, F.col("tf")).otherwise(0).alias("n_known"), (F.col("tf") * F.log10((F.col("c") + 1) / base_of)).alias("base"), _rising(a * F.col("share"), F.col("tf")).alias("score"))
+    joined = joined.select("row", F.when(F.col("c") > 0, F.col("tf")).otherwise(0).alias("n_known"), (F.col("tf") * F.log10((F.col("c") + 1) / base_of)).alias("base"), _rising(F.lit(log_a) + F.col("log_share"), F.col("tf")).alias("score"))
     joined = joined.groupBy("row").agg(F.sum("n_known").alias("k"), F.sum("base").alias("b"), F.sum("score").alias("s"))
     whole = parts.filter("h is null").select("row", "doc_id", "n_tokens", "n_known", "base", "score").join(joined, "row", "left")
     zero = F.lit(0.0)
-    spent = _rising(F.lit(a), F.col("n_tokens"))
+    spent = _rising(F.lit(log_a), F.col("n_tokens"))
     return whole.select(
         "doc_id", (~_train()).alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("b", zero)).alias("base_score"), ((F.col("score") + F.coalesce("s", zero) - spent) / LN10).alias("score"),
