@@ -178,6 +178,23 @@ def test_nearest_against_brute_force(spark):
     assert ann.nearest(df.limit(0)).count() == 0
 
 
+def test_nearest_with_a_long_vector_and_a_dense_cluster(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(1500, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[100:180] = x[100] + 1e-4 * rng.normal(size=(80, 16))
+    x[7] *= 1000
+    df = spark.createDataFrame([(i, list(map(float, r))) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    hit = Counter()
+    asked = [i for i in range(0, 1500, 20) if i != 7]
+    for r in ann.nearest(df, every=20).collect():
+        d = ((x - x[r.query_id]) ** 2).sum(1)
+        d[r.query_id] = np.inf
+        hit[r.query_id] += r.vec_id in np.argsort(d)[:10]
+    assert sum(hit.values()) >= 0.95 * 10 * len(asked)
+    assert all(hit[i] >= 9 for i in (100, 120, 140, 160))
+
+
 def brute_marginal(word, logp, single):
     best = [0.0] + [-math.inf] * len(word)
     for j in range(1, len(word) + 1):

@@ -74,19 +74,18 @@ def first_graph(nodes: DataFrame, dim: int, k: int, lines: int, seed: int) -> Da
     return _least(lined.mapInArrow(compare, "node long, nbr long, d float"), k)
 
 
-def _short(nodes: DataFrame, dim: int) -> tuple[DataFrame, float]:
-    """(node, code): vectors as bytes, by the largest component of all; good enough to tell who may be near."""
-    top = nodes.agg(F.max(F.array_max(F.transform("vec", F.abs)))).first()[0] or 1.0
+def _short(nodes: DataFrame, dim: int) -> DataFrame:
+    """(node, code): vectors as bytes of single precision."""
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.rint(matrix(batch.column("vec"), dim) * (127 / top)).astype(np.int8)
+            x = matrix(batch.column("vec"), dim, np.float32)
             yield pa.record_batch([batch.column("node"), pa.array([r.tobytes() for r in x], pa.binary())], names=["node", "code"])
 
-    return nodes.select("node", "vec").mapInArrow(code, "node long, code binary"), float(top) / 127
+    return nodes.select("node", "vec").mapInArrow(code, "node long, code binary")
 
 
-def descend(graph: DataFrame, codes: DataFrame, scale: float, dim: int, k: int, reverse: int, give: int) -> DataFrame:
+def descend(graph: DataFrame, codes: DataFrame, dim: int, k: int, reverse: int, give: int) -> DataFrame:
     """One round: everyone's neighbours, and the nearest of those that name it, meet each other; who finds a nearer
     one than its farthest neighbour takes it."""
     back = _least(graph.select(F.col("nbr").alias("node"), F.col("node").alias("nbr"), "d"), reverse)
@@ -115,7 +114,7 @@ def descend(graph: DataFrame, codes: DataFrame, scale: float, dim: int, k: int,
         if not len(host):
             return
         guest, far = table.column("nbr").to_numpy(), table.column("far").to_numpy()
-        x = np.frombuffer(b"".join(table.column("code").to_pylist()), np.int8).astype(np.float32).reshape(-1, dim) * np.float32(scale)
+        x = np.frombuffer(b"".join(table.column("code").to_pylist()), np.float32).reshape(-1, dim)
         starts = np.append(np.flatnonzero(np.diff(host, prepend=host[0] - 1)), len(host))
         for lo in range(0, len(starts) - 1, NODES):
             begin = starts[lo : min(lo + NODES, len(starts) - 1)]
@@ -128,10 +127,17 @@ def descend(graph: DataFrame, codes: DataFrame, scale: float, dim: int, k: int,
             d = square[:, :, None] + square[:, None, :] - 2 * (v @ v.transpose(0, 2, 1))
             d[~(there[:, :, None] & there[:, None, :])] = np.inf
             d[:, np.arange(at.shape[1]), np.arange(at.shape[1])] = np.inf
-            d[d >= far[at][:, :, None]] = np.inf
-            g = min(give, d.shape[2])
+            g = min(2 * give, d.shape[2])
             best = np.argpartition(d, g - 1, axis=2)[:, :, :g]
-            found = np.take_along_axis(d, best, axis=2)
+            apart = np.isinf(np.take_along_axis(d, best, axis=2))
+            found = np.empty(best.shape, np.float32)
+            for m in range(g):  # by differences: products of long or close vectors lose the small distances
+                gap = v - v[np.arange(len(v))[:, None], best[:, :, m]]
+                found[:, :, m] = np.einsum("ijk,ijk->ij", gap, gap)
+            found[apart | (found >= far[at][:, :, None])] = np.inf
+            if g > give:
+                least = np.argpartition(found, give - 1, axis=2)[:, :, :give]
+                best, found = np.take_along_axis(best, least, axis=2), np.take_along_axis(found, least, axis=2)
             i, j, m = np.nonzero(np.isfinite(found))
             yield pa.record_batch([pa.array(guest[at[i, j]]), pa.array(guest[at[i, best[i, j, m]]]), pa.array(np.maximum(found[i, j, m], 0))], names=["node", "nbr", "d"])
 
@@ -141,11 +147,10 @@ def descend(graph: DataFrame, codes: DataFrame, scale: float, dim: int, k: int,
 
 def neighbour_graph(nodes: DataFrame, dim: int, k: int = 24, rounds: int = 5, lines: int = 4, reverse: int = 24, give: int = 6, seed: int = 0) -> DataFrame:
     """(node, nbr, d) with about the k nearest of every node of (node, vec)."""
-    codes, scale = _short(nodes, dim)
-    codes = materialize(codes, "codes")
+    codes = materialize(_short(nodes, dim), "codes")
     graph = materialize(first_graph(nodes, dim, k, lines, seed), "graph")
     for _ in range(rounds):
-        graph = materialize(descend(graph, codes, scale, dim, k, reverse, give), "graph")
+        graph = materialize(descend(graph, codes, dim, k, reverse, give), "graph")
     return graph
 
 
