@@ -1,7 +1,9 @@
 """Segmentations of words into vocabulary pieces, for many words of one length at a time.
 
 A word's substrings are looked up by rolling hashes among the sorted hashes of all pieces, then compared, so a
-collision cannot pass. Best paths (Viterbi) and marginals (forward, backward) advance all words of a length together.
+collision cannot pass. Best paths (Viterbi) and marginals (forward, backward) advance all words of a length together;
+words beyond EXACT characters are padded to one of a few widths. Work and memory are in proportion to the characters,
+however long a word is.
 """
 
 from __future__ import annotations
@@ -14,8 +16,10 @@ BLANK = "▁"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _FILTER_BITS = 20
 _FILTER = np.uint64(64 - _FILTER_BITS)
-#: Words of one length that advance together, times the length.
-BLOCK = 1 << 19
+#: Characters whose words advance together, and of which one table of arcs is made.
+BLOCK = 1 << 16
+#: Words up to this length only share a batch with words of the same length.
+EXACT = 32
 
 
 def code_points(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -23,18 +27,27 @@ def code_points(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64), np.fromiter(map(len, words), np.int64, len(words))
 
 
-def by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(positions in words, matrix of code points) for each length, in blocks of bounded size; empty words left out."""
+def _width(lengths: np.ndarray) -> np.ndarray:
+    """The width that each length is padded to: itself up to EXACT, then the next of eight widths an octave."""
+    step = 1 << np.maximum(0, np.floor(np.log2(np.maximum(lengths, 1))).astype(np.int64) - 3)
+    return np.where(lengths <= EXACT, lengths, -(-lengths // step) * step)
+
+
+def by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(positions in words, code points, lengths) of words of one width, in blocks of bounded size; empty words left
+    out. Code points beyond a word's end are -1."""
     flat, lengths = code_points(words)
     starts = np.cumsum(lengths) - lengths
-    order = np.argsort(lengths, kind="stable")
-    cuts = np.flatnonzero(np.diff(lengths[order], prepend=-1))
+    widths = _width(lengths)
+    order = np.argsort(widths, kind="stable")
+    cuts = np.flatnonzero(np.diff(widths[order], prepend=-1))
     for lo, hi in zip(cuts, [*cuts[1:], len(order)]):
-        n = int(lengths[order[lo]])
-        step = max(1, BLOCK // max(1, n))
-        for at in range(lo, hi if n else lo, step):
+        w = int(widths[order[lo]])
+        step = max(1, BLOCK // max(1, w))
+        for at in range(lo, hi if w else lo, step):
             rows = order[at : min(hi, at + step)]
-            yield rows, flat[starts[rows][:, None] + np.arange(n)]
+            inside = np.arange(w) < lengths[rows][:, None]
+            yield rows, np.where(inside, flat[np.minimum(starts[rows][:, None] + np.arange(w), len(flat) - 1)], -1), lengths[rows]
 
 
 class Pieces:
@@ -43,6 +56,7 @@ class Pieces:
     def __init__(self, pieces: list[str]):
         flat, self.lengths = code_points(pieces)
         self.longest = int(self.lengths.max(initial=0))
+        self.sizes = set(self.lengths.tolist())
         self.chars = np.zeros((len(pieces), self.longest), np.int64)
         self.chars[np.arange(self.longest) < self.lengths[:, None]] = flat
         hashes = np.zeros(len(pieces), np.uint64)
@@ -54,30 +68,54 @@ class Pieces:
         self.keys = hashes[self.order]
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[(self.keys >> _FILTER).astype(np.int64)] = True
-        self.powers = np.cumprod(np.append(np.ones(1, np.uint64), np.full(self.longest, _BASE)))
 
     @staticmethod
     def _mix(hashes: np.ndarray, length: np.ndarray | int) -> np.ndarray:
         x = hashes ^ np.asarray(length).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         return (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
 
-    def prefixes(self, chars: np.ndarray) -> np.ndarray:
-        """Hash of each word's first j characters, j from 0."""
-        out = np.zeros((chars.shape[1] + 1, len(chars)), np.uint64)
-        for j in range(chars.shape[1]):
-            out[j + 1] = out[j] * _BASE + (chars[:, j] + 1).astype(np.uint64)
-        return out
-
-    def find(self, chars: np.ndarray, prefixes: np.ndarray, end: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """(words, pieces): the words whose `length` characters before `end` are a piece, and which."""
-        x = self._mix(prefixes[end] - prefixes[end - length] * self.powers[length], length)
-        rows = np.flatnonzero(self.filter[(x >> _FILTER).astype(np.int64)])
-        at = np.searchsorted(self.keys, x[rows])
-        at[at == len(self.keys)] = 0
-        same = self.keys[at] == x[rows]
-        rows, piece = rows[same], self.order[at[same]]
-        same = (self.lengths[piece] == length) & (self.chars[piece, :length] == chars[rows, end - length : end]).all(axis=1)
-        return rows[same], piece[same]
+    def arcs(self, chars: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(length, rows, starts, pieces), for each length, of all substrings of the rows that are a piece."""
+        n, width = chars.shape
+        if not len(self.keys):
+            return
+        codes = (chars + 1).astype(np.uint64)
+        hashes = np.zeros((n, width), np.uint64)
+        for length in range(1, min(width, self.longest) + 1):
+            hashes = hashes[:, : width - length + 1] * _BASE + codes[:, length - 1 :]
+            if length not in self.sizes:
+                continue
+            x = self._mix(hashes, length)
+            rows, starts = np.nonzero(self.filter[(x >> _FILTER).astype(np.int64)])
+            x = x[rows, starts]
+            at = np.searchsorted(self.keys, x)
+            at[at == len(self.keys)] = 0
+            same = self.keys[at] == x
+            rows, starts, piece = rows[same], starts[same], self.order[at[same]]
+            same = (self.lengths[piece] == length) & (self.chars[piece, :length] == chars[rows[:, None], starts[:, None] + np.arange(length)]).all(axis=1)
+            yield length, rows[same], starts[same], piece[same]
+
+    def tables(self, chars: np.ndarray, backward: bool = False) -> Iterator[tuple[int, list, np.ndarray]]:
+        """For runs of ends in order: (the first end, its arcs with starts in the whole word, an empty [end, length,
+        row] table of -inf to fill). A run is as many ends as a block allows; backward begins with the last."""
+        n, width = chars.shape
+        step = max(1, BLOCK // n)
+        runs = range(0, width, step)
+        for lo in reversed(runs) if backward else runs:
+            hi, back = min(width, lo + step), max(0, lo - self.longest + 1)
+            found = []
+            for length, rows, starts, piece in self.arcs(chars[:, back:hi]):
+                late = starts + back + length > lo
+                found.append((length, rows[late], starts[late] + back, piece[late]))
+            yield lo, found, np.full((hi - lo, max(1, self.longest), n), -np.inf)
+
+
+def _sum(x: np.ndarray) -> np.ndarray:
+    """Log of the sum of exponentials along the first axis; -inf where all are."""
+    most = x.max(axis=0)
+    shift = np.where(np.isfinite(most), most, 0.0)
+    with np.errstate(divide="ignore"):
+        return shift + np.log(np.exp(x - shift).sum(axis=0))
 
 
 def viterbi(pieces: Pieces, scores: np.ndarray, chars: np.ndarray, unknown: float) -> tuple[np.ndarray, np.ndarray]:
@@ -86,63 +124,73 @@ def viterbi(pieces: Pieces, scores: np.ndarray, chars: np.ndarray, unknown: floa
     An unknown character counts `unknown` where no piece is that character alone. Equal sums: the longest last piece.
     """
     n, width = chars.shape
-    prefixes = pieces.prefixes(chars)
     best = np.full((width + 1, n), -np.inf)
     best[0] = 0
     step, which = np.ones((width + 1, n), np.int32), np.full((width + 1, n), -1, np.int32)
-    for end in range(1, width + 1):
-        single = np.zeros(n, bool)
-        for length in range(min(end, pieces.longest), 0, -1):
-            rows, piece = pieces.find(chars, prefixes, end, length)
-            if length == 1:
-                single[rows] = True
-            value = best[end - length, rows] + scores[piece]
-            better = value > best[end, rows]
-            rows, piece = rows[better], piece[better]
-            best[end, rows], step[end, rows], which[end, rows] = value[better], length, piece
-        value = np.where(single, -np.inf, best[end - 1] + unknown)
-        better = value > best[end]
-        best[end, better], step[end, better], which[end, better] = value[better], 1, -1
+    words = np.arange(n)
+    for lo, arcs, value in pieces.tables(chars):
+        piece = np.full(value.shape, -1, np.int32)
+        for length, rows, starts, found in arcs:
+            value[starts + length - 1 - lo, length - 1, rows] = scores[found]
+            piece[starts + length - 1 - lo, length - 1, rows] = found
+        value[:, 0] = np.where(piece[:, 0] < 0, unknown, value[:, 0])
+        for k in range(len(value)):
+            end = lo + k + 1
+            reach = min(end, value.shape[1])
+            x = (value[k, :reach] + best[end - reach : end][::-1])[::-1]  # the longest first
+            at = x.argmax(axis=0)
+            best[end] = x[at, words]
+            step[end] = reach - at
+            which[end] = piece[k, reach - 1 - at, words]
     return step, which
 
 
-def forward(pieces: Pieces, logp: np.ndarray, chars: np.ndarray, fallback: Callable[[np.ndarray], np.ndarray], keep: list | None = None) -> np.ndarray:
+def forward(pieces: Pieces, logp: np.ndarray, chars: np.ndarray, fallback: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
     """Log of the summed probability of all segmentations up to each end: [end, word].
 
     fallback: log probability of each character by itself, outside the pieces; it is one more arc everywhere.
-    keep: gets (end, length, words, pieces) of each look-up.
     """
     n, width = chars.shape
-    prefixes = pieces.prefixes(chars)
     alpha = np.full((width + 1, n), -np.inf)
     alpha[0] = 0
-    for end in range(1, width + 1):
-        total = alpha[end - 1] + fallback(chars[:, end - 1])
-        for length in range(1, min(end, pieces.longest) + 1):
-            rows, piece = pieces.find(chars, prefixes, end, length)
-            if len(rows):
-                total[rows] = np.logaddexp(total[rows], alpha[end - length, rows] + logp[piece])
-                if keep is not None:
-                    keep.append((end, length, rows, piece))
-        alpha[end] = total
+    for lo, arcs, value in pieces.tables(chars):
+        for length, rows, starts, piece in arcs:
+            value[starts + length - 1 - lo, length - 1, rows] = logp[piece]
+        value[:, 0] = np.logaddexp(value[:, 0], fallback(chars[:, lo : lo + len(value)]).T)
+        for k in range(len(value)):
+            end = lo + k + 1
+            reach = min(end, value.shape[1])
+            alpha[end] = _sum(value[k, :reach] + alpha[end - reach : end][::-1])
     return alpha
 
 
-def expected_counts(pieces: Pieces, logp: np.ndarray, chars: np.ndarray, weights: np.ndarray, fallback: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+def expected_counts(pieces: Pieces, logp: np.ndarray, chars: np.ndarray, lengths: np.ndarray, weights: np.ndarray, fallback: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
     """How often each piece is expected in the words, over all segmentations by their probability."""
     n, width = chars.shape
-    arcs: list = []
-    alpha = forward(pieces, logp, chars, fallback, arcs)
+    words = np.arange(n)
+    alpha = forward(pieces, logp, chars, fallback)
+    total = alpha[lengths, words]
     beta = np.full((width + 1, n), -np.inf)
-    beta[width] = 0
+    beta[lengths, words] = 0
     out = np.zeros(len(logp))
-    ends: dict[int, list] = {}
-    for arc in arcs:
-        ends.setdefault(arc[0], []).append(arc)
-    for end in range(width, 0, -1):
-        beta[end - 1] = np.logaddexp(beta[end - 1], beta[end] + fallback(chars[:, end - 1]))
-        for _, length, rows, piece in ends.get(end, ()):
-            arc = logp[piece] + beta[end, rows]
-            np.add.at(out, piece, weights[rows] * np.exp(alpha[end - length, rows] + arc - alpha[width, rows]))
-            beta[end - length, rows] = np.logaddexp(beta[end - length, rows], arc)
+    for lo, arcs, value in pieces.tables(chars, backward=True):
+        for length, rows, starts, piece in arcs:
+            value[starts + length - 1 - lo, length - 1, rows] = logp[piece]
+        value[:, 0] = np.logaddexp(value[:, 0], fallback(chars[:, lo : lo + len(value)]).T)
+        for k in range(len(value) - 1, -1, -1):
+            end = lo + k + 1
+            reach = min(end, value.shape[1])
+            span = slice(end - reach, end)
+            beta[span] = np.logaddexp(beta[span], (value[k, :reach] + beta[end])[::-1])
+        for length, rows, starts, piece in arcs:
+            share = alpha[starts, rows] + logp[piece] + beta[starts + length, rows] - total[rows]
+            out += np.bincount(piece, weights[rows] * np.exp(share), len(out))
     return out
+
+
+def log_weights(scores: np.ndarray) -> np.ndarray:
+    """Log probabilities of pieces from a vocabulary's scores. A unigram model's scores are that already; those of a
+    BPE model, which are minus the ranks of its merges, weigh 1 / (10 + rank), as frequencies by rank do in text."""
+    whole = bool(len(scores)) and bool((scores == np.round(scores)).all()) and scores.min() < -100
+    weight = 1.0 / (10.0 - scores) if whole else np.exp(scores)
+    return np.log(weight / weight.sum()) if whole else scores.astype(float)

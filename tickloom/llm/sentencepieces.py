@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import prepare
-from .lattice import BLANK, Pieces, by_length, viterbi
+from .lattice import BLANK, Pieces, by_length, log_weights, viterbi
 
 #: sentencepiece counts an unknown character as the least score of a normal piece less this.
 UNKNOWN_PENALTY = 10.0
@@ -26,8 +26,13 @@ def default_model() -> str:
 
 
 class Codec:
-    """Texts to piece ids and back, as sentencepiece does for a unigram model with byte fallback, a blank in front and
-    no other normalisation. The pieces and scores are an existing model's; nothing is trained."""
+    """Texts to piece ids and back, with a blank in front, no other normalisation, and bytes for unknown characters.
+    The pieces and scores are an existing model's; nothing is trained.
+
+    A unigram model gives the ids that sentencepiece gives. A BPE model's scores are merge ranks, which no sum over a
+    path makes sense of; its pieces weigh as lattice.log_weights says, and the ids are those of the likeliest path, not
+    of the merges that sentencepiece would make. Either way decode(encode(text)) is the text.
+    """
 
     def __init__(self, model_path: str, cache: int = 300_000):
         import sentencepiece
@@ -37,7 +42,7 @@ class Codec:
         normal = [i for i in range(size) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         self.ids = np.array(normal, np.int32)
         self.names = [model.id_to_piece(i) for i in normal]
-        self.scores = np.array([model.get_score(i) for i in normal])
+        self.scores = log_weights(np.array([model.get_score(i) for i in normal]))
         self.pieces = Pieces(self.names)
         self.unknown = float(self.scores.min()) - UNKNOWN_PENALTY
         self.bytes = {int(model.id_to_piece(i)[3:5], 16): i for i in range(size) if model.is_byte(i)}
@@ -48,10 +53,10 @@ class Codec:
 
     def _encode_units(self, units: list[str]) -> dict[str, bytes]:
         out = {}
-        for rows, chars in by_length(units):
+        for rows, chars, lengths in by_length(units):
             step, which = viterbi(self.pieces, self.scores, chars, self.unknown)
-            n, width = chars.shape
-            at, found = np.full(n, width), []
+            n = len(rows)
+            at, found = lengths.copy(), []
             alive = np.arange(n)
             while len(alive):  # all words step back together
                 end = at[alive]
@@ -82,10 +87,10 @@ class Codec:
             self.kept.clear()
             new = list({u for units in split for u in units})
         fresh = self._encode_units(new)
+        out = [np.frombuffer(b"".join([fresh[u] if u in fresh else self.kept[u] for u in units]), "<i4") for units in split]
         if len(new) <= self.limit:
-            self.kept |= fresh
-            fresh = self.kept
-        return [np.frombuffer(b"".join(map(fresh.__getitem__, units)), "<i4") for units in split]
+            self.kept |= {u: x for u, x in fresh.items() if len(u) <= 64}
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         """Inverse of encode, byte by byte; unknown ids give nothing."""
@@ -141,7 +146,9 @@ def decode(encoded: DataFrame, model_path: str | None = None, id_col: str = "doc
 def round_trip(docs: DataFrame, model_path: str | None = None) -> DataFrame:
     """(doc_id, n_ids, ids_crc32, decoded_crc32, exact) of every whole document: encoded, decoded again and compared.
 
-    Checksums are unsigned: of the ids as little-endian 32-bit integers, and of the decoded text in UTF-8."""
+    Checksums are unsigned: of the ids as little-endian 32-bit integers, and of the decoded text in UTF-8. Null and
+    empty texts have no ids and are exact; null ids and repeated rows keep a row each; long unspaced texts cost in
+    proportion to their characters. An empty table gives no rows; extra columns are not read."""
     prepare(docs.sparkSession)
     path = model_path or default_model()
 
