@@ -9,11 +9,10 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import materialize, prepare, sorted_groups, texts_of
+from .common import discard, materialize, prepare, sorted_groups, texts_of
 from .components import connected_components
 
 SEED = 42
@@ -122,39 +121,18 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Words are runs without ASCII white space, with A-Z in lower case. Fingerprints within `distance` bits link;
     component_id is the smallest id reachable. Equal fingerprints become one node first, so copies cost one row each
-    and never pairs. Null and empty texts have fingerprint zero and link like any other. Repeated ids keep a row each,
-    rows with a null id a null component unless another row of their fingerprint has an id. Other columns of docs are
+    and never pairs. Null and empty texts have fingerprint zero and link like any other; very long texts are hashed
+    whole, in steps of bounded memory. Repeated ids keep a row each. Rows with a null id link like any other, so they
+    can join others into one group; component_id is null where no row of the group has an id. Other columns of docs are
     not read; an empty table gives no rows.
     """
     prints = materialize(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    nodes = materialize(prints.groupBy("fp").agg(F.min("id").alias("node")), "nodes")
-    edges = near_edges(nodes.filter("node is not null"), nodes.count(), distance)
-    found = connected_components(edges)
-    nodes = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    nodes = materialize(prints.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
+    edges = materialize(near_edges(nodes.select(F.col("fp").alias("node"), "fp"), nodes.count(), distance), "near")
+    found = connected_components(edges).withColumnRenamed("node", "fp")
+    discard(edges)
+    linked = nodes.join(found, "fp")
+    least = linked.groupBy("component").agg(F.min("least").alias("of_all"))
+    linked = linked.join(least, "component").select("fp", "of_all")
+    nodes = nodes.join(linked, "fp", "left").select("fp", F.coalesce("of_all", "least").alias("component_id"))
     return prints.join(nodes, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is the smallest of their group, all columns; of rows that share such an id, the one
-    with the least text. Of rows with null ids, one stays for each fingerprint that no row with an id has, that with
-    the least text."""
-    groups = simhash_groups(docs, id_col, text_col)
-    ids = groups.groupBy(F.col(id_col).alias("kept"), F.col("component_id").alias("c"), "fingerprint").agg(F.count("*").alias("n"))
-    ids = materialize(ids.filter(F.coalesce(F.col("kept") == F.col("c"), F.col("c").isNull())), "kept")
-    alone = ids.filter("c is null").select("fingerprint")
-    ids = ids.filter("kept is not null").groupBy("kept").agg(F.sum("n").alias("_n"))
-    # merged at every size: the kept ids grow with the documents, so they are never sent to all tasks
-    held = docs.join(ids.hint("merge"), F.col(id_col) == F.col("kept")).drop("kept")
-    nth = F.row_number().over(Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_first()))
-    again = held.filter("_n > 1").withColumn("_nth", nth).filter("_nth = 1").drop("_nth")
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fp = pa.array([f"{fingerprint(t):016x}" for t in texts_of(batch)], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, fp], names=[*batch.schema.names, "fingerprint"])
-
-    # least in each partition first, so a text that very many rows hold goes to no single task
-    nameless = docs.filter(F.col(id_col).isNull()).select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
-    nameless = nameless.mapInArrow(mark, StructType([*nameless.schema, StructField("fingerprint", StringType())]))
-    nameless = nameless.groupBy("fingerprint").agg(F.min_by("row", F.struct("text")).alias("row")).join(alone.hint("merge"), "fingerprint", "left_semi")
-    return held.filter("_n = 1").unionByName(again).drop("_n").unionByName(nameless.select("row.*"))
