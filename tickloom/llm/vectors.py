@@ -20,13 +20,24 @@ def keyed(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return picked.filter(usable("vec")).select("vec_id", "vec", F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(1), "vec").alias("h2"))
 
 
-def dimension(rows: DataFrame) -> int:
-    """The commonest length (ties: the longest); vectors of other lengths take no part."""
-    found = rows.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return found["n"] if found else 0
+#: Vectors of one length that a task compares by themselves, where the length is not the commonest.
+FEW = 2048
+
+
+def dimensions(rows: DataFrame) -> tuple[list[int], list[int]]:
+    """The lengths of vectors (vec): the commonest (ties: the longest) and all that over FEW rows have, and the rest.
+    Vectors of different lengths are never near, so each length is a table of its own."""
+    found = rows.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).collect()
+    large = [r["n"] for k, r in enumerate(found) if not k or r["count"] > FEW]
+    return large, [r["n"] for r in found[len(large) :]]
 
 
 def matrix(column: pa.Array, dim: int, dtype=np.float64) -> np.ndarray:
     """A list column as rows of a matrix."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return column.flatten().to_numpy(zero_copy_only=False).astype(dtype).reshape(len(column), dim)
+
+
+def even(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, so that squares of very large or small components stay finite; no digit changes."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
