@@ -3,21 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, prepare
-from .vectors import dimension, keyed, matrix
+from .common import discard, materialize, prepare, sorted_groups
+from .vectors import dimensions, keyed, matrix
 
 #: Vectors of one stretch of a random line that the first graph compares with each other.
 STRETCH = 512
 #: Nodes whose neighbourhoods a task compares at once.
 NODES = 128
-#: Queries whose vectors are sent to all tasks together.
-QUERY_BLOCK = 4096
+#: Descent ends when a round changes no more than this share of the edges, search when a round opens no node.
+SETTLED, MOST_ROUNDS = 0.05, 40
 
 
 def _least(near: DataFrame, k: int) -> DataFrame:
@@ -145,90 +146,115 @@ def descend(graph: DataFrame, codes: DataFrame, dim: int, k: int, reverse: int,
     return _least(graph.unionByName(fresh.filter("node != nbr")), k)
 
 
-def neighbour_graph(nodes: DataFrame, dim: int, k: int = 24, rounds: int = 5, lines: int = 4, reverse: int = 24, give: int = 6, seed: int = 0) -> DataFrame:
-    """(node, nbr, d) with about the k nearest of every node of (node, vec)."""
+def neighbour_graph(nodes: DataFrame, dim: int, k: int = 32, lines: int = 4, reverse: int = 32, give: int = 12, settled: float = SETTLED, seed: int = 0) -> DataFrame:
+    """(node, nbr, d) with about the k nearest of every node of (node, vec): rounds of descent until one changes no
+    more than the share `settled` of the edges."""
     codes = materialize(_short(nodes, dim), "codes")
     graph = materialize(first_graph(nodes, dim, k, lines, seed), "graph")
-    for _ in range(rounds):
-        graph = materialize(descend(graph, codes, dim, k, reverse, give), "graph")
+    for _ in range(MOST_ROUNDS):
+        new = materialize(descend(graph, codes, dim, k, reverse, give), "graph")
+        changed, edges = new.join(graph, ["node", "nbr"], "left_anti").count(), new.count()
+        discard(graph)
+        graph = new
+        if changed <= settled * edges:
+            break
+    discard(codes)
     return graph
 
 
-def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, dim: int, width: int = 96, rounds: int = 8) -> DataFrame:
+def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, dim: int, beam: int = 256, width: int = 128, reverse: int = 32) -> DataFrame:
     """(query, node, d): greedy search from each query (query, node, vec), where node is its own place in the graph.
 
-    A round takes the `width` nearest nodes seen that were not opened yet, and looks at all their neighbours, in both
-    directions. Queries go in blocks of QUERY_BLOCK, whose vectors are sent to all tasks; d is the squared distance in
-    double precision.
+    A round opens the `width` nearest unopened ones of the `beam` nearest nodes seen, and looks at their neighbours
+    and at the nearest of those that name them; a query ends when its whole beam is open. All queries go in one plan.
+    Vectors meet their query by a sort, so nothing is sent to all tasks; d is the squared distance in double precision.
     """
-    both = graph.select("node", "nbr").unionByName(graph.select(F.col("nbr").alias("node"), F.col("node").alias("nbr"))).distinct()
-    both = materialize(both, "links")
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    out = None
-    for block in range(blocks):
-        part = queries.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == block)
-        held = part.select("query", "vec").toPandas()  # a bounded number
-        order = np.argsort(held["query"].to_numpy())
-        ids = held["query"].to_numpy()[order].astype(np.int64)
-        asked = np.array([list(v) for v in held["vec"]], float).reshape(len(ids), dim)[order]
-
-        def measure(batches: Iterator[pa.RecordBatch], ids=ids, asked=asked) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                q = asked[np.searchsorted(ids, batch.column("query").to_numpy())]
-                x = matrix(batch.column("vec"), dim) - q
-                yield pa.record_batch([batch.column("query"), batch.column("node"), pa.array(np.einsum("ij,ij->i", x, x))], names=["query", "node", "d"])
-
-        seen = opened = None
-        front = part.select("query", "node")
-        for _ in range(rounds):
-            new = front.join(both, "node").select("query", F.col("nbr").alias("node")).distinct()
-            if seen is None:
-                new = new.unionByName(front).distinct()
-            else:
-                new = new.join(seen.select("query", "node"), ["query", "node"], "left_anti")
-            new = new.join(nodes.select("node", "vec"), "node").select("query", "node", "vec").mapInArrow(measure, "query long, node long, d double")
-            opened = front if opened is None else opened.unionByName(front)
-            seen = materialize(new if seen is None else seen.unionByName(new), "seen")
-            left = seen.join(opened, ["query", "node"], "left_anti")
-            rank = F.row_number().over(Window.partitionBy("query").orderBy("d", "node"))
-            front = materialize(left.withColumn("r", rank).filter(F.col("r") <= width).select("query", "node"), "front")
-        out = seen if out is None else out.unionByName(seen)
-    return out
+    back = _least(graph.select(F.col("nbr").alias("node"), F.col("node").alias("nbr"), "d"), reverse)
+    links = materialize(graph.select("node", "nbr").unionByName(back.select("node", "nbr")).distinct(), "links")
+    asked = queries.select("query", F.lit(-1).cast("long").alias("node"), "vec")  # comes before its nodes
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in sorted_groups(batches, ["query"]):
+            x = matrix(group.column("vec"), dim)
+            apart = x[1:] - x[0]
+            yield pa.record_batch([group.column("query").combine_chunks()[1:], group.column("node").combine_chunks()[1:], pa.array(np.einsum("ij,ij->i", apart, apart))], names=["query", "node", "d"])
+
+    def measured(pairs: DataFrame) -> DataFrame:
+        rows = pairs.hint("merge").join(nodes.select("node", "vec"), "node").select("query", "node", "vec").unionByName(asked)
+        return rows.repartition("query").sortWithinPartitions("query", "node").mapInArrow(measure, "query long, node long, d double")
+
+    seen = materialize(measured(queries.select("query", "node")).withColumn("opened", F.lit(False)), "seen")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("d", "node"))
+    left = F.row_number().over(Window.partitionBy("query").orderBy("d", "node"))
+    for _ in range(MOST_ROUNDS):
+        front = seen.withColumn("r", rank).filter((F.col("r") <= beam) & ~F.col("opened"))
+        front = materialize(front.withColumn("r", left).filter(F.col("r") <= width).select("query", "node"), "front")
+        if front.isEmpty():
+            break
+        new = front.join(links, "node").select("query", F.col("nbr").alias("node")).distinct().join(seen.select("query", "node"), ["query", "node"], "left_anti")
+        opened = seen.join(front.withColumn("now", F.lit(True)), ["query", "node"], "left").select("query", "node", "d", (F.col("opened") | F.coalesce("now", F.lit(False))).alias("opened"))
+        more = materialize(opened.unionByName(measured(new).withColumn("opened", F.lit(False))), "seen")
+        discard(seen, front)
+        seen = more
+    discard(links)
+    return seen.select("query", "node", "d")
+
+
+def among_few(nodes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query, node, d) of the k + 1 nearest nodes (node, least, vec) of each query, where lengths have vectors.FEW rows
+    at most: each length is compared by itself."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in sorted_groups(batches, ["len"]):
+            x = matrix(group.column("vec"), group.column("len")[0].as_py())
+            node, least = group.column("node").to_numpy(), group.column("least").to_numpy()
+            for q in np.flatnonzero(group.column("asks").to_numpy()):
+                d = ((x - x[q]) ** 2).sum(axis=1)
+                best = np.lexsort((least, d))[: k + 1]
+                yield pa.record_batch([pa.array(np.full(len(best), node[q])), pa.array(node[best]), pa.array(d[best])], names=["query", "node", "d"])
+
+    rows = nodes.join(queries.select("node", F.lit(True).alias("asks")), "node", "left").select("node", "least", "vec", F.coalesce("asks", F.lit(False)).alias("asks"), F.size("vec").alias("len"))
+    return rows.repartition("len").sortWithinPartitions("len").mapInArrow(compare, "query long, node long, d double")
 
 
 def nearest(rows: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", **graph) -> DataFrame:
     """(query_id, rank, id_col, score): of each row whose id is divisible by `every`, the k nearest other rows found.
 
-    All rows are in the graph. Equal vectors are one node, of which the k + 1 smallest ids can be answers (no others
-    could be among the nearest k). score is the Euclidean distance of the original vectors in double precision, ties go
-    to the smaller id. Null, zero and non-finite vectors, those of another length than the commonest, and null ids
-    take no part; of rows that repeat an id with equal vectors each counts. Fewer than k other rows: all that the
-    search finds. An empty table gives no rows; extra columns are not read.
+    All rows are in the graph of their length's vectors; vectors of different lengths are no candidates of each other.
+    Equal vectors are one node, of which the k + 1 smallest ids can be answers (no others could be among the nearest
+    k). score is the Euclidean distance of the original vectors in double precision, infinite where that overflows;
+    ties go to the smaller id. Null, zero and non-finite vectors and null ids take no part; of rows that repeat an id
+    each counts, but for the query's own id. Fewer than k other rows: all that the search finds. An empty table gives
+    no rows; extra columns are not read.
     """
     spark = rows.sparkSession
     prepare(spark, 8 << 20)
     held = materialize(keyed(rows, id_col, vec_col).filter("vec_id is not null"), "vectors")
-    dim = dimension(held)
-    held = held.filter(F.size("vec") == dim)
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not dim:
-        return spark.createDataFrame([], schema).withColumnRenamed("vec_id", id_col)
-    nodes = materialize(held.groupBy("h1", "h2").agg(F.min("vec_id").alias("node"), F.first("vec").alias("vec")), "vector-nodes")
-    named = held.select("vec_id", "h1", "h2").join(nodes.select("h1", "h2", "node"), ["h1", "h2"]).select("vec_id", "node")
+    nodes = held.groupBy("h1", "h2").agg(F.min("vec_id").alias("least"), F.first("vec").alias("vec"))
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "vector-nodes")
+    named = materialize(held.select("vec_id", "h1", "h2").join(nodes.select("h1", "h2", "node"), ["h1", "h2"]).select("vec_id", "node"), "named")
+    discard(held)
     salted = Window.partitionBy("node", F.pmod(F.xxhash64("vec_id"), F.lit(64))).orderBy("vec_id")
-    firsts = named.withColumn("r", F.row_number().over(salted)).filter(F.col("r") <= k + 1)
+    firsts = named.distinct().withColumn("r", F.row_number().over(salted)).filter(F.col("r") <= k + 1)
     firsts = firsts.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("vec_id"))).filter(F.col("r") <= k + 1).select("node", "vec_id")
-    firsts = materialize(firsts, "members")
 
-    links = neighbour_graph(nodes.select("node", "vec"), dim, **graph)
-    asking = named.filter(F.pmod("vec_id", F.lit(every)) == 0).select("node").distinct().join(nodes.select("node", "vec"), "node")
-    asking = materialize(asking.select(F.col("node").alias("query"), "node", "vec"), "queries")
-    found = search(links, nodes.select("node", "vec"), asking, dim)
-    rank = F.row_number().over(Window.partitionBy("query").orderBy("d", "node"))
+    asking = named.filter(F.pmod("vec_id", F.lit(every)) == 0)
+    queries = materialize(asking.select("node").distinct().join(nodes.select("node", "vec"), "node").select(F.col("node").alias("query"), "node", "vec"), "queries")
+    large, few = dimensions(nodes)
+    parts = []
+    for dim in large:
+        own = nodes.filter(F.size("vec") == dim).select("node", "vec")
+        parts.append(search(neighbour_graph(own, dim, **graph), own, queries.filter(F.size("vec") == dim), dim))
+    if few:
+        parts.append(among_few(nodes.filter(~F.size("vec").isin(large)), queries, k))
+    if not parts:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double").withColumnRenamed("vec_id", id_col)
+    found = reduce(DataFrame.unionByName, parts).join(nodes.select("node", "least"), "node")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("d", "least"))
     found = found.withColumn("r", rank).filter(F.col("r") <= k + 1).select("query", "node", "d")
     answers = found.join(firsts, "node").select("query", "vec_id", "d")
-    asked = named.filter(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), F.col("node").alias("query"))
-    answers = asked.join(answers, "query").filter("query_id != vec_id")
+    asked = asking.select(F.col("vec_id").alias("query_id"), F.col("node").alias("query")).distinct()
+    answers = asked.join(answers, "query").filter("query_id != vec_id").groupBy("query_id", "vec_id").agg(F.min("d").alias("d"))
     last = F.row_number().over(Window.partitionBy("query_id").orderBy("d", "vec_id"))
     answers = answers.withColumn("rank", last).filter(F.col("rank") <= k)
     return answers.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("vec_id").alias(id_col), F.sqrt("d").alias("score"))
