@@ -38,14 +38,14 @@ def top_grams(letters: str, size: int) -> np.ndarray:
     return codes[np.argsort(-counts, kind="stable")[:size]]
 
 
-def learn_profiles(docs: DataFrame, size: int = 400, per_lang: int = 3000, max_langs: int = 4096) -> dict[str, np.ndarray]:
+def learn_profiles(docs: DataFrame, size: int = 400, per_lang: int = 3000) -> dict[str, np.ndarray]:
     """Each language's most frequent n-grams, from a hashed sample of about per_lang documents of it (a bound in
-    expectation), whole texts; the max_langs commonest languages."""
+    expectation), whole texts. All languages count; those of a corpus are few, as are their profiles."""
     prepare(docs.sparkSession)
     known = docs.filter("lang is not null and text is not null").select("doc_id", "lang", "text")
-    share = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs)
+    share = known.groupBy("lang").agg(F.count("*").alias("n"))
     share = share.select("lang", F.least(F.lit(1.0), F.lit(float(per_lang)) / F.col("n")).alias("p"))
-    sample = known.join(F.broadcast(share), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("p") * (1 << 30))
+    sample = known.join(share, "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("p") * (1 << 30))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,7 +122,9 @@ def identify(docs: DataFrame, size: int = 400) -> DataFrame:
 
 def keep_known(docs: DataFrame, size: int = 400, farthest: float = 0.97) -> DataFrame:
     """The rows of docs whose text has a language: not `und`, and within `farthest` of its profile (text that shares
-    almost no n-gram with any language goes). All columns stay; each text is judged in place."""
+    almost no n-gram with any language goes). All columns stay, whatever their names; each text is judged in place and
+    whole, null and empty ones go, repeated rows are judged each. Null ids are not learned from. Empty tables give no
+    rows."""
     prepare(docs.sparkSession)
     profiles = learn_profiles(docs.filter(~_held_out() & F.col("doc_id").isNotNull()), size)
 
