@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from .common import prepare
 
 UNKNOWN = "und"
+#: Languages whose shares are sent to all tasks; with more of them the texts are joined by a shuffle.
+BROADCAST_LANGS = 1 << 16
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -45,6 +47,8 @@ def learn_profiles(docs: DataFrame, size: int = 400, per_lang: int = 3000) -> di
     known = docs.filter("lang is not null and text is not null").select("doc_id", "lang", "text")
     share = known.groupBy("lang").agg(F.count("*").alias("n"))
     share = share.select("lang", F.least(F.lit(1.0), F.lit(float(per_lang)) / F.col("n")).alias("p"))
+    if share.count() <= BROADCAST_LANGS:
+        share = F.broadcast(share)
     sample = known.join(share, "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("p") * (1 << 30))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
