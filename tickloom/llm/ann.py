@@ -166,7 +166,8 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, dim: int, bea
     """(query, node, d): greedy search from each query (query, node, vec), where node is its own place in the graph.
 
     A round opens the `width` nearest unopened ones of the `beam` nearest nodes seen, and looks at their neighbours
-    and at the nearest of those that name them; a query ends when its whole beam is open. All queries go in one plan.
+    and at the nearest of those that name them; a query ends when its whole beam is open, and the beam is what it
+    found. All queries go in one plan, whose state is their beams.
     Vectors meet their query by a sort, so nothing is sent to all tasks; d is the squared distance in double precision.
     """
     back = _least(graph.select(F.col("nbr").alias("node"), F.col("node").alias("nbr"), "d"), reverse)
@@ -183,21 +184,22 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, dim: int, bea
         rows = pairs.hint("merge").join(nodes.select("node", "vec"), "node").select("query", "node", "vec").unionByName(asked)
         return rows.repartition("query").sortWithinPartitions("query", "node").mapInArrow(measure, "query long, node long, d double")
 
-    seen = materialize(measured(queries.select("query", "node")).withColumn("opened", F.lit(False)), "seen")
+    held = materialize(measured(queries.select("query", "node")).withColumn("opened", F.lit(False)), "beam")
     rank = F.row_number().over(Window.partitionBy("query").orderBy("d", "node"))
-    left = F.row_number().over(Window.partitionBy("query").orderBy("d", "node"))
     for _ in range(MOST_ROUNDS):
-        front = seen.withColumn("r", rank).filter((F.col("r") <= beam) & ~F.col("opened"))
-        front = materialize(front.withColumn("r", left).filter(F.col("r") <= width).select("query", "node"), "front")
+        front = held.filter(~F.col("opened")).withColumn("r", rank).filter(F.col("r") <= width)
         if front.isEmpty():
             break
-        new = front.join(links, "node").select("query", F.col("nbr").alias("node")).distinct().join(seen.select("query", "node"), ["query", "node"], "left_anti")
-        opened = seen.join(front.withColumn("now", F.lit(True)), ["query", "node"], "left").select("query", "node", "d", (F.col("opened") | F.coalesce("now", F.lit(False))).alias("opened"))
-        more = materialize(opened.unionByName(measured(new).withColumn("opened", F.lit(False))), "seen")
-        discard(seen, front)
-        seen = more
+        # what fell out of a beam can be met again, but never comes back, as beams only get nearer
+        new = front.select("query", "node").join(links, "node").select("query", F.col("nbr").alias("node")).distinct().join(held.select("query", "node"), ["query", "node"], "left_anti")
+        left = F.row_number().over(Window.partitionBy("query", "opened").orderBy("d", "node"))
+        after = held.withColumn("r", left).select("query", "node", "d", (F.col("opened") | (F.col("r") <= width)).alias("opened"))
+        near = after.unionByName(measured(new).withColumn("opened", F.lit(False))).withColumn("r", rank)
+        near = materialize(near.filter(F.col("r") <= beam).drop("r"), "beam")
+        discard(held)
+        held = near
     discard(links)
-    return seen.select("query", "node", "d")
+    return held.select("query", "node", "d")
 
 
 def among_few(nodes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
