@@ -74,7 +74,7 @@ def half_spread(bars: DataFrame, block: int = SECONDS_PER_DAY, least: int = 100)
     return both.select(F.greatest(F.coalesce("roll", "tick_floor_bps"), "tick_floor_bps").alias("half_spread_bps"), method.alias("method"), "roll_blocks", "tick_floor_bps")
 
 
-def sweep_slippage(tape: DataFrame, size: float = ORDER_SIZE, by: tuple[str, ...] = (), block: int = 3600, carry: bool = True) -> DataFrame:
+def sweep_slippage(tape: DataFrame, size: float = ORDER_SIZE, by: tuple[str, ...] = (), block: int = 3600) -> DataFrame:
     """(by..., trade_id, slippage_bps) of each run of trades by one side that reaches `size`: its volume-weighted price
     for that size against its first print, positive is adverse.
 
@@ -127,6 +127,7 @@ def estimate_slippage(tape: DataFrame, size: float = ORDER_SIZE, sample_hours: i
     hour = F.expr(f"(time - {bounds['lo']}) div {bounds['d']} div 3600")
     sample = tape.withColumn("hour", hour).filter(F.col("hour").isin([int(h) for h in chosen]))
     out = slippage_summary(sweep_slippage(sample, size, by=("hour",)))
-    if not out.first()["n_sweeps"]:
+    row = out.first()
+    if not row["n_sweeps"]:
         raise ValueError(f"no run in the sample reached {size}")
-    return out.withColumn("sample_hours", F.lit(len(chosen)))
+    return tape.sparkSession.createDataFrame([row], out.schema).withColumn("sample_hours", F.lit(len(chosen)))

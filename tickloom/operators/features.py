@@ -79,7 +79,8 @@ def valid_windows(windows: DataFrame, bars: DataFrame, window: int = WINDOW_SIZE
 
 def check_windows(bars: DataFrame, window: int, horizon: int) -> int:
     """How many valid windows there are; none raises."""
-    n = (bars.agg(F.max("bar_idx")).first()[0] or -1) + 1 - window - horizon + 1
+    last = bars.agg(F.max("bar_idx")).first()[0]
+    n = (0 if last is None else last + 1) - window - horizon + 1
     if n <= 0:
         raise ValueError(f"the series is too short for windows of {window} bars and a horizon of {horizon}")
     return n

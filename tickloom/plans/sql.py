@@ -125,7 +125,7 @@ def sql(tail: str) -> str:
     for name in reversed(parts):
         if re.search(rf"\b{name}\b", text):
             wanted.add(name)
-            text += parts[name]
+            text += "\n" + parts[name]
     body = ",\n".join(parts[x] for x in parts if x in wanted)
     return f"WITH RECURSIVE {body}\n{tail}" if body else tail
 
@@ -157,7 +157,8 @@ def _metrics(threshold: str, group: str = "") -> str:
   round(coalesce(sum(CASE WHEN y = 1 AND p >= {threshold} THEN 1.0 ELSE 0 END) / nullif(sum(CASE WHEN p >= {threshold} THEN 1 ELSE 0 END), 0), 0), 8) AS precision,
   round(coalesce(sum(CASE WHEN y = 1 AND p >= {threshold} THEN 1.0 ELSE 0 END) / nullif(sum(y), 0), 0), 8) AS recall,
   round(coalesce(2 * sum(CASE WHEN y = 1 AND p >= {threshold} THEN 1.0 ELSE 0 END) / nullif(sum(y) + sum(CASE WHEN p >= {threshold} THEN 1 ELSE 0 END), 0), 0), 8) AS f1,
-  round(avg(CAST(y AS DOUBLE)), 8) AS base_rate, round(greatest(avg(CAST(y AS DOUBLE)), 1 - avg(CAST(y AS DOUBLE))), 8) AS majority_accuracy"""
+  round(avg(CAST(y AS DOUBLE)), 8) AS base_rate, round(1 - avg(CAST(y AS DOUBLE)), 8) AS majority_accuracy,
+  CAST(sum(y) AS BIGINT) AS n_positive, CAST(sum(CASE WHEN p >= {threshold} THEN 1 ELSE 0 END) AS BIGINT) AS n_flagged"""
 
 
 _POOL = f"""SELECT f.model, f.gate, f.q, n_folds, round(keep, 6) AS gate_keep_frac, n_trades, round(hit, 6) AS hit_rate, round(res, 6) AS resolved_share, round(reshit, 6) AS resolved_hit_rate, round(gross, 4) + 0 AS gross_bps, round(gross - {ROUND_TRIP}, 4) AS net_bps, round(hold, 4) AS mean_hold_s,
@@ -167,6 +168,9 @@ FROM (SELECT model, gate, q, count(*) AS n_folds, avg(k) AS keep FROM (SELECT DI
 JOIN (SELECT model, gate, q, count(*) AS n_trades, avg(CASE WHEN side = direction THEN 1.0 ELSE 0 END) AS hit, avg(CASE WHEN side <> 0 THEN 1.0 ELSE 0 END) AS res, avg(CASE WHEN side <> 0 THEN CASE WHEN side = direction THEN 1.0 ELSE 0 END END) AS reshit, avg(gross) AS gross, avg(exit_offset) AS hold FROM g_trades GROUP BY ALL) t USING (model, gate, q)
 JOIN (SELECT model, gate, q, count(*) AS n_days, sum(pnl) * {BPS} AS total, min(dd) AS dd, {_SHARPE} AS sharpe FROM g_dd GROUP BY ALL) d USING (model, gate, q)""".replace("FROM d_folds_t", "FROM (SELECT DISTINCT fold FROM d_test)")
 
+_COUNTS = ", ".join(f"CAST(sum(CASE WHEN p {a} 0.5 AND y = {b} THEN 1 ELSE 0 END) AS BIGINT) AS {name}" for name, a, b in (("tp", ">=", 1), ("fp", ">=", 0), ("fn", "<", 1), ("tn", "<", 0)))
+_AREA = "SELECT round(sum(pos * (below + neg / 2.0)) / nullif(sum(pos) * sum(neg), 0), 8) AS roc_auc FROM (SELECT pos, neg, coalesce(sum(neg) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM (SELECT p, sum(y) AS pos, count(*) - sum(y) AS neg FROM scored GROUP BY 1))"
+
 ORACLE_SQL = {
     k: sql(v)
     for k, v in {
@@ -228,6 +232,8 @@ ORACLE_SQL = {
         "patch_aux_stats": "SELECT aux, round(avg(x), 4) + 0 AS mean, round(greatest(stddev_pop(x), CASE WHEN aux = 'log_return_mean' THEN 1.0 ELSE 1e-6 END), 4) AS std FROM (SELECT 'log_return_mean' AS aux, rm * 1e6 AS x FROM wstats UNION ALL SELECT 'ofi_mean', om FROM wstats UNION ALL SELECT 'log_return_logstd', ln(rs + 1e-8) FROM wstats UNION ALL SELECT 'ofi_logstd', ln(os + 1e-8) FROM wstats) GROUP BY 1",
         "auc_exact": "SELECT round(sum(p * (below + n / 2.0)) / nullif(sum(p) * sum(n), 0), 8) AS auc, CAST(sum(p) AS BIGINT) AS n_pos, CAST(sum(n) AS BIGINT) AS n_neg FROM (SELECT score, p, n, coalesce(sum(n) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM (SELECT score, sum(y) AS p, count(*) - sum(y) AS n FROM scored GROUP BY 1))",
         "binary_metrics": f"SELECT {_metrics('0.5')} FROM scored",
+        "model_metrics": f"SELECT * FROM (SELECT {_metrics('0.5')} FROM scored), ({_AREA}), (SELECT {_COUNTS} FROM scored)",
+        "best_by_sharpe": f"SELECT * FROM ({_POOL}) WHERE sharpe IS NOT NULL QUALIFY row_number() OVER (PARTITION BY gate ORDER BY sharpe DESC, model, gate, q) = 1",
         "threshold_sweep": f"SELECT CAST(t AS DOUBLE) AS threshold, {_metrics('t')} FROM scored, (VALUES (0.3::DOUBLE), (0.4), (0.5), (0.6), (0.7), (0.8), (0.9)) x(t) GROUP BY 1",
     }.items()
 }
