@@ -55,7 +55,7 @@ def save_checkpoint(spark: SparkSession, path: str, weights: dict[str, np.ndarra
     """Weights as a table of named arrays, the recipe as JSON, under a format version."""
     rows = [(k, list(w.shape), w.ravel().astype(float).tolist()) for k, w in sorted(weights.items())]
     spark.createDataFrame(rows, "name string, shape array<int>, values array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/weights")
-    recipe = {"format_version": FORMAT_VERSION, "config": config.to_dict(), "data_meta": data_meta or {}, "train_meta": train_meta or {}, "metrics": metrics or {}}
+    recipe = {"format_version": FORMAT_VERSION, "config": json.loads(config.to_json()), "data_meta": data_meta or {}, "train_meta": train_meta or {}, "metrics": metrics or {}}
     spark.createDataFrame([(json.dumps(recipe),)], "recipe string").coalesce(1).write.mode("overwrite").parquet(f"{path}/recipe")
 
 
@@ -64,7 +64,7 @@ def load_checkpoint(spark: SparkSession, path: str) -> tuple[dict[str, np.ndarra
     if recipe.get("format_version") != FORMAT_VERSION:
         raise ValueError(f"checkpoint format {recipe.get('format_version')!r} is not {FORMAT_VERSION}")
     rows = spark.read.parquet(f"{path}/weights").collect()  # a fixed number of arrays
-    return {r["name"]: np.array(r["values"]).reshape(r["shape"]) for r in rows}, PatchConfig.from_dict(recipe["config"]), recipe
+    return {r["name"]: np.array(r["values"]).reshape(r["shape"]) for r in rows}, PatchConfig.from_json(json.dumps(recipe["config"])), recipe
 
 
 def describe_checkpoint(recipe: dict) -> str:
