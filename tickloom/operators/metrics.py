@@ -11,11 +11,14 @@ def auc(scored: DataFrame, by: tuple[str, ...] = (), label: str = "y", score: st
     """(by..., auc, n_pos, n_neg): share of positive-negative pairs in order, ties half; null with one class.
 
     Rows are counted by score first. The counts before each score go from one range of scores to the next, so no task
-    holds all of them: ranges of the score's leading bits keep its order.
+    holds all of them. Ranges are pairs of rising functions of the score, so they keep its order: its logarithm in
+    steps of a 64th of an octave, which tells small scores apart, and its 4096ths, which tell those near one half.
     """
     pos = F.sum(F.col(label).cast("long"))
     each = scored.groupBy(*by, score).agg(pos.alias("_p"), (F.count("*") - pos).alias("_n"))
-    each = each.withColumn("_range", F.floor(F.col(score) * 4096))  # any rising function of the score will do
+    size = F.floor(F.log2(F.abs(F.col(score))) * 64) + (1 << 17)  # doubles begin at 2 ** -1074
+    log = F.when(F.col(score) == 0, F.lit(0)).otherwise(F.when(F.col(score) < 0, -size).otherwise(size))
+    each = each.withColumn("_range", F.struct(log.cast("long").alias("log"), F.floor(F.col(score) * 4096).alias("step")))
     sums = each.groupBy(*by, "_range").agg(F.sum("_n").alias("_t"))
     over = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     sums = sums.withColumn("_before", F.coalesce(F.sum("_t").over(over.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_t")
@@ -28,7 +31,8 @@ def auc(scored: DataFrame, by: tuple[str, ...] = (), label: str = "y", score: st
 
 
 def binary_metrics(scored: DataFrame, threshold: Column | float = 0.5, by: tuple[str, ...] = (), label: str = "y", score: str = "score") -> DataFrame:
-    """(by..., n, accuracy, precision, recall, f1, base_rate, majority_accuracy): ratios without a denominator are 0."""
+    """(by..., n, accuracy, precision, recall, f1, base_rate, majority_accuracy, n_positive, n_flagged): ratios without a
+    denominator are 0. majority_accuracy is that of never saying yes."""
     y, hit = F.col(label) == 1, F.col(score) >= threshold
 
     def count(c: Column) -> Column:
@@ -40,7 +44,20 @@ def binary_metrics(scored: DataFrame, threshold: Column | float = 0.5, by: tuple
     precision, recall = F.coalesce(F.try_divide("tp", F.col("tp") + F.col("fp")), zero), F.coalesce(F.try_divide("tp", F.col("tp") + F.col("fn")), zero)
     f1 = F.coalesce(F.try_divide(2.0 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), zero)
     base = F.try_divide("_pos", "n")
-    return rows.select(*by, "n", F.try_divide("_right", "n").alias("accuracy"), precision.alias("precision"), recall.alias("recall"), f1.alias("f1"), base.alias("base_rate"), F.greatest(base, 1 - base).alias("majority_accuracy"))
+    return rows.select(*by, "n", F.try_divide("_right", "n").alias("accuracy"), precision.alias("precision"), recall.alias("recall"), f1.alias("f1"), base.alias("base_rate"), (1 - base).alias("majority_accuracy"), F.col("_pos").alias("n_positive"), (F.col("tp") + F.col("fp")).alias("n_flagged"))
+
+
+def model_metrics(scored: DataFrame, threshold: float = 0.5, by: tuple[str, ...] = (), label: str = "y", score: str = "score") -> DataFrame:
+    """binary_metrics with roc_auc, null where there is one class, and the confusion counts tp, fp, fn, tn."""
+    from tickloom.functions.scan import beside
+
+    hit, y = (F.col(score) >= threshold).cast("long"), F.col(label).cast("long")
+    counts = scored.groupBy(*by).agg(F.sum(hit * y).alias("tp"), F.sum(hit * (1 - y)).alias("fp"), F.sum((1 - hit) * y).alias("fn"), F.sum((1 - hit) * (1 - y)).alias("tn"))
+    area = auc(scored, by, label, score).select(*by, F.col("auc").alias("roc_auc"))
+    rows = binary_metrics(scored, threshold, by, label, score)
+    for other in (area, counts):
+        rows = rows.join(other, list(by)) if by else beside(rows, other)
+    return rows
 
 
 def threshold_sweep(scored: DataFrame, thresholds: tuple[float, ...] = (0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9), label: str = "y", score: str = "score") -> DataFrame:

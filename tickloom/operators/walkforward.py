@@ -39,12 +39,13 @@ def gated_windows(test: DataFrame, cuts: DataFrame, gates: dict[str, str]) -> tu
 
 def walk_forward(
     bars: DataFrame, windows: DataFrame, barriers: DataFrame, horizon: int, costs: Costs, execution: Execution, trees: Trees = Trees(), side_models: tuple[str, ...] = tuple(SIDE_MODELS),
-    outside: dict[str, DataFrame] | None = None, quantiles: tuple[float, ...] = GATE_QUANTILES, margin: float = 0.0,
-) -> DataFrame:
+    outside: dict[str, DataFrame] | None = None, quantiles: tuple[float, ...] = GATE_QUANTILES, margin: float = 0.0, with_scores: bool = False,
+) -> DataFrame | tuple[DataFrame, DataFrame]:
     """The pooled out-of-sample grid over model x gate x quantile, of windows in folds (fold, part, ...).
 
     Models are fitted one fold after the other; their scores become one table, and signals, execution and pooling of
-    all configurations are one plan. outside: probabilities (fold, start, p_up) of other models by name.
+    all configurations are one plan. outside: probabilities (fold, start, p_up) of other models by name. with_scores:
+    also the test windows' scores (fold, bar_idx, gate_trained, gate_rv, p_<model>...).
     """
     from tickloom.operators.models import join_probabilities
 
@@ -66,4 +67,5 @@ def walk_forward(
     keep = keep.withColumn("model", F.explode(F.array(*map(F.lit, names))))
     by = ("model", "fold", "gate", "q")
     told = si.admit(signals, bars, barriers, horizon, execution, by).persist()
-    return si.pool(told, si.price_trades(told, bars, costs.round_trip_bps(execution), by), keep, costs.round_trip_bps(execution))
+    pooled = si.pool(told, si.price_trades(told, bars, costs.round_trip_bps(execution), by), keep, costs.round_trip_bps(execution))
+    return (pooled, test) if with_scores else pooled

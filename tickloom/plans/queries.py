@@ -19,6 +19,7 @@ from tickloom.operators import models as mo
 from tickloom.operators import patch as pt
 from tickloom.operators import simulate as si
 from tickloom.operators import splits as sp
+from tickloom.operators import sweep as sw
 from tickloom.plans import sql
 from tickloom.plans.sql import BAR, BARRIER, DAY_BARRIER, DAY_HORIZON, DAY_WINDOW, HALF_SPREAD, HORIZON, PURGE, ROUND_TRIP, SIZE, TRAIN_MONTHS, WINDOW
 from tickloom.sources import tape as tp
@@ -354,12 +355,26 @@ def _pool(spark, d) -> DataFrame:
     return si.pool(told, si.price_trades(told, bars, ROUND_TRIP, by), keep, ROUND_TRIP)
 
 
-def pooled_grid(spark, d):
+def _pool_digits(rows: DataFrame) -> DataFrame:
     digits = {"gate_keep_frac": 6, "hit_rate": 6, "resolved_share": 6, "resolved_hit_rate": 6, "gross_bps": 4, "net_bps": 4, "mean_hold_s": 4, "total_return": 6, "max_drawdown": 6, "sharpe": 4, "trades_per_day": 6}
-    rows = _pool(spark, d).drop("cost_bps")
     return rows.select(*(_r(c, digits[c]) if c in digits else F.col(c) for c in rows.columns))
 
 
+def pooled_grid(spark, d):
+    return _pool_digits(_pool(spark, d).drop("cost_bps"))
+
+
+def best_by_sharpe(spark, d):
+    return sw.best_by_sharpe(_pool_digits(_pool(spark, d).drop("cost_bps")), ("gate",))
+
+
+def sweep_cells(spark, d):
+    bars = _day_bars(spark, d)
+    folds = sp.build_folds(bars, "holdout", TRAIN_MONTHS)
+    pooled, _ = sw.sweep(bars, folds, DAY_WINDOW, [(DAY_BARRIER, DAY_HORIZON)], COSTS, TAKER, trees=SMALL_TREES, quantiles=(0.8,))
+    return sw.best_by_sharpe(pooled)
+
+
 def common_gate(spark, d):
     return si.common_gate(_pool(spark, d))
 
@@ -379,7 +394,7 @@ def auc_exact(spark, d):
 
 
 def _metric_digits(rows: DataFrame) -> DataFrame:
-    return rows.select(*(F.col(c) if c in ("n", "threshold") else _r(c, 8) for c in rows.columns))
+    return rows.select(*(F.col(c) if c.startswith("n") or c == "threshold" else _r(c, 8) for c in rows.columns))
 
 
 def binary_metrics(spark, d):
@@ -390,6 +405,11 @@ def threshold_sweep(spark, d):
     return _metric_digits(me.threshold_sweep(_scored(spark, d), score="p"))
 
 
+def model_metrics(spark, d):
+    rows = me.model_metrics(_scored(spark, d), score="p")
+    return rows.select(*(_r(c, 8) if t == "double" else F.col(c) for c, t in rows.dtypes))
+
+
 def bootstrap_auc(spark, d):
     return me.block_bootstrap_auc(_scored(spark, d), n_boot=100, block=WINDOW + HORIZON)
 
@@ -476,7 +496,7 @@ QUERIES = {
         tape_scan, tape_time_slice, tape_unit_inference, bars_sparse, bars_grid, bars_meta, bars_hourly, bars_splice_gap, dataset_stats, channels_full, channels_raw, features_7, rv_gate, rolling_metrics,
         windows_valid, triple_barrier, triple_barrier_join, targets_side, targets_gate, label_mix, training_matrix, split_purged, sequence_dataset, month_blocks, fold_masks, fold_rows_touched, month_slice,
         half_spread_roll, slippage_sweep, slippage_summary, slippage_hours, round_trip_costs, required_hit_rate, breakeven_curve, geometry_grid, geometry_shortlist, signals_momentum, maker_fills,
-        backtest_taker, backtest_maker, backtest_status, backtest_summary, backtest_daily, drawdown, gate_thresholds, signals_gated, pooled_grid, common_gate, auc_exact, binary_metrics, threshold_sweep, bootstrap_auc, bootstrap_sharpe,
+        backtest_taker, backtest_maker, backtest_status, backtest_summary, backtest_daily, drawdown, gate_thresholds, signals_gated, pooled_grid, common_gate, best_by_sharpe, sweep_cells, auc_exact, binary_metrics, model_metrics, threshold_sweep, bootstrap_auc, bootstrap_sharpe,
         side_logistic, gate_trees, walkforward_grid, patch_instance_norm, patchify, patch_aux_stats, patch_scores, probability_exchange,
     )
 }
