@@ -59,10 +59,24 @@ def test_triple_barrier(bars, method, chunk):
     assert sorted(map(tuple, got.collect())) == brute(column(bars, "price"), 37, 5e-4)
 
 
-@pytest.mark.parametrize("price,h,b,bar,want", [([100, 100, 100, 100.06, 100.06, 100.06, 100.5, 100.5, 100.5], 8, 5e-4, 0, (1, 3)), ([100, 99.9, 100.1, 100.1, 100.1], 4, 5e-4, 0, (-1, 1)), ([100.0] * 50, 10, 5e-4, 5, (0, 10))])
-def test_hand_paths(spark, price, h, b, bar, want):
+def stairs(*steps):
+    """Prices from (price, bars it lasts)."""
+    return [p for p, n in steps for _ in range(n)]
+
+
+@pytest.mark.parametrize(
+    "price,h,barrier,bar,want",
+    [
+        (stairs((200, 4), (200.5, 2), (203, 9)), 8, 0.002, 1, (1, 3)),  # up at the first price beyond, not the last
+        (stairs((200, 4), (200.5, 2), (203, 3)), 7, 0.01, 0, (1, 6)),  # the lower step is inside
+        (stairs((50, 2), (49, 1), (52, 9)), 6, 0.015, 0, (-1, 2)),  # down comes first, whatever follows
+        (stairs((8, 30)), 11, 0.001, 7, (0, 11)),  # nothing happens in the horizon
+        (stairs((10, 3), (10.01, 20)), 12, 0.001, 2, (0, 12)),  # ln(1.001) itself is not beyond the barrier
+    ],
+)
+def test_stairs(spark, price, h, barrier, bar, want):
     df = spark.createDataFrame([(i, float(p)) for i, p in enumerate(price)], "bar_idx long, price double")
-    row = br.triple_barrier(df, h, b).filter(f"bar_idx = {bar}").first()
+    row = br.triple_barrier(df, h, barrier).filter(f"bar_idx = {bar}").first()
     assert (row.side, row.exit_offset) == want
 
 
@@ -84,24 +98,39 @@ def test_split_is_purged_and_thinned(spark):
         sp.chronological_split(starts, purge=900)
 
 
-def test_stride_for_budget():
-    assert sp.stride_for_budget(1000, 1, 1e9, 1) == (2, pytest.approx(1000 / 2 * 1.25 / 1e9 / 3600))
-    assert sp.stride_for_budget(10**12, 10, 1.0, 1e-6)[0] == 64
+@pytest.mark.parametrize("windows,passes,rate,hours", [(10**6, 3, 500.0, 1.0), (4_700_000, 10, 2000.0, 6.0), (7, 1, 1e9, 1.0), (10**12, 5, 10.0, 0.5), (10, 1, 1.0, 0.0)])
+def test_affordable_stride(windows, passes, rate, hours):
+    fits = [s for s in range(2, 65) if windows / s * passes * 1.25 / rate <= hours * 3600]
+    assert sp.affordable_stride(windows, passes, rate, hours) == (fits[0] if fits else 64)
+
+
+def plain_sweeps(rows, size):
+    """Slippage of each run of (time, price, qty, sold) on one side that reaches the size, by walking through it."""
+    out, run = [], []
+    for at, row in enumerate([*rows, None]):
+        if run and (row is None or row[3] != run[-1][3]):
+            left, paid = size, 0.0
+            for _, price, qty, _ in run:
+                paid, left = paid + price * min(qty, left), left - min(qty, left)
+            if left <= 1e-12:
+                out.append((1 if not run[0][3] else -1) * (paid / size / run[0][1] - 1) / 1e-4)
+            run = []
+        if row is not None:
+            run.append(row)
+    return out
 
 
 def test_sweeps(spark):
-    def run(price, qty, maker, by=()):
-        rows = [(i, float(p), float(q), float(p * q), 1_767_225_600 + i, m, True, 0) for i, (p, q, m) in enumerate(zip(price, qty, maker))]
-        df = spark.createDataFrame(rows, "trade_id long, price double, qty double, quote_qty double, time long, is_buyer_maker boolean, is_best_match boolean, hour int")
-        return [r.slippage_bps for r in co.sweep_slippage(df, 0.1, by, block=2).orderBy("trade_id").collect()]
-
-    for by in ((), ("hour",)):
-        two = run([100, 100.01, 100.02, 99.99], [0.04, 0.04, 0.05, 0.2], [False, False, False, True], by)
-        assert len(two) == 2 and two[0] == pytest.approx(((100 * 0.04 + 100.01 * 0.04 + 100.02 * 0.02) / 0.1 / 100 - 1) / 1e-4)
-        one = run([100, 99.99, 99.98], [0.05] * 3, [True] * 3, by)
-        assert len(one) == 1 and one[0] > 0
-        assert run([100, 100.5, 101], [0.001] * 3, [False, True, False], by) == []
-        assert run([100, 100], [5, 5], [False, True], by) == [0, 0]
+    rng = np.random.default_rng(21)
+    rows = [(1_767_225_600 + i, round(40 + float(rng.normal(0, 0.2)), 2), round(float(rng.gamma(1, 0.03)), 3), bool(rng.random() < 0.5)) for i in range(400)]
+    tape = [(i, p, q, p * q, t, sold, True, 0) for i, (t, p, q, sold) in enumerate(rows)]
+    df = spark.createDataFrame(tape, "trade_id long, price double, qty double, quote_qty double, time long, is_buyer_maker boolean, is_best_match boolean, hour int")
+    for size in (0.05, 0.2, 5.0):
+        want = plain_sweeps(rows, size)
+        for how in ({"by": ("hour",)}, {"block": 2}, {"block": 60}):
+            got = [r.slippage_bps for r in co.sweep_slippage(df, size, **how).orderBy("trade_id").collect()]
+            assert got == pytest.approx(want, abs=1e-7)
+    assert plain_sweeps(rows, 0.05) and not plain_sweeps(rows, 5.0)
 
 
 def test_costs(spark):
@@ -142,12 +171,25 @@ def test_positions_do_not_overlap(spark, bars):
     assert (trades.entry_bar.to_numpy()[1:] > trades.exit_bar.to_numpy()[:-1]).all() and np.allclose(trades.gross_bps - trades.net_bps, 5.0)
 
 
-@pytest.mark.parametrize("price,ofi,direction,want", [([100.0] * 20, [0, -1, -1, -1] + [0.0] * 16, 1, 3), ([100.0] * 20, [0, 1, 1, 1] + [0.0] * 16, -1, 3), ([100, 99.5] + [100.0] * 8, [0.0] * 10, 1, 1), ([100, 101] + [100.0] * 8, [0.0] * 10, 1, None), ([100.0] * 20, [0.0] * 20, 1, None), ([100.0, 100.0], [0.0, 0.0], 1, None)])
+QUIET = [70.0] * 12
+
+
+@pytest.mark.parametrize(
+    "price,ofi,direction,want",
+    [
+        (QUIET, [0, -0.6, -0.6, -0.6, -0.8] + [0.0] * 7, 1, 4),  # selling eats the queue of 2 and the order of 0.5
+        (QUIET, [0, 0.9, 0.9, 0.9] + [0.0] * 8, -1, 3),  # and buying that of an offer
+        (QUIET, [0, 3.0, 3.0, 3.0] + [0.0] * 8, 1, None),  # flow of the other side eats nothing
+        ([70.0, 70.0, 69.9] + [70.0] * 9, [0.0] * 12, 1, 2),  # the price trades through a bid
+        ([70.0, 70.2] + [70.0] * 10, [0.0] * 12, 1, None),  # not on the far side of it
+        ([70.0] * 3, [0.0, -9.0, 0.0], 1, 1),
+    ],
+)
 def test_queue(spark, price, ofi, direction, want):
     b = spark.createDataFrame([(i, float(p), float(f)) for i, (p, f) in enumerate(zip(price, ofi))], "bar_idx long, price double, ofi double")
     sig = spark.createDataFrame([(0, direction)], "bar_idx long, direction int")
     row = si.maker_fills(sig, b, co.Execution(entry="maker", queue_ahead=2.0, size=0.5)).first()
-    assert row.fill_bar == want and row.fill_price == (100.0 if want else None)
+    assert row.fill_bar == want and row.fill_price == (70.0 if want else None)
 
 
 def test_auc_counts_ties_half(spark):
@@ -164,6 +206,70 @@ def test_metrics_without_positives(spark):
     assert (row.precision, row.recall, row.f1, row.accuracy) == (0, 0, 0, 0.5)
 
 
+def test_auc_of_small_and_signed_scores(spark):
+    rng = np.random.default_rng(22)
+    score = np.concatenate([rng.gamma(2, 1e-9, 300), -rng.gamma(2, 1e-9, 50), rng.normal(0.5, 1e-3, 200), np.zeros(20), rng.normal(0, 40, 60)])
+    y = (rng.random(len(score)) < 0.4).astype(int)
+    rows = spark.createDataFrame(list(zip(score.tolist(), y.tolist())), "score double, y int")
+    pos, neg = score[y == 1], score[y == 0]
+    want = ((pos[:, None] > neg).sum() + (pos[:, None] == neg).sum() / 2) / len(pos) / len(neg)
+    assert me.auc(rows).first().auc == pytest.approx(want, rel=1e-12)
+    full = me.model_metrics(rows, 0.4).first()
+    hit = score >= 0.4
+    assert (full.tp, full.fp, full.fn, full.tn) == tuple(int((a & b).sum()) for a, b in ((hit, y == 1), (hit, y == 0), (~hit, y == 1), (~hit, y == 0)))
+    assert full.roc_auc == pytest.approx(want) and full.n_flagged == hit.sum() and full.majority_accuracy == pytest.approx(1 - y.mean())
+
+
+def test_check_windows(spark):
+    one = spark.createDataFrame([(0, 1.0)], "bar_idx long, price double")
+    assert ft.check_windows(one, 1, 0) == 1
+    with pytest.raises(ValueError):
+        ft.check_windows(one.limit(0), 1, 0)
+
+
+def test_best_by_sharpe(spark):
+    from tickloom.operators import sweep
+
+    rows = [(20.0, 60, "trees", "rv", 0.9, 1.5), (20.0, 60, "trees", "none", 0.0, float("nan")), (20.0, 60, "logistic_7", "rv", 0.8, 2.0), (40.0, 60, "trees", "rv", 0.8, None), (40.0, 90, "trees", "rv", 0.8, -3.0)]
+    df = spark.createDataFrame(rows, "barrier_bps double, horizon_s int, model string, gate string, q double, sharpe double")
+    assert sorted((r.barrier_bps, r.horizon_s, r.model) for r in sweep.best_by_sharpe(df).collect()) == [(20.0, 60, "logistic_7"), (40.0, 90, "trees")]
+    assert sorted((r.barrier_bps, r.sharpe) for r in sweep.best_by_sharpe(df, model="trees").collect()) == [(20.0, 1.5), (40.0, -3.0)]
+
+
+@pytest.mark.parametrize("norm,hidden", [("layer", 0), ("batch", 5), ("layer", 5)])
+def test_patch_options(norm, hidden):
+    config = pt.PatchConfig(seq_len=32, patch_len=8, stride=4, d_model=8, n_heads=2, n_layers=1, d_ff=8, norm=norm, head_hidden=hidden)
+    weights = pt.init_weights(config)
+    x = np.random.default_rng(1).normal(size=(3, 2, 32))
+    first = pt.forward(weights, config, x)
+    assert first.shape == (3,) and np.isfinite(first).all()
+    assert (norm == "layer") == np.allclose(first, pt.forward(weights | {"layer0.norm1.mean": np.ones(8)}, config, x))
+    assert hidden == 0 or not np.allclose(first, pt.forward(weights | {"hidden.b": weights["hidden.b"] + 1}, config, x))
+    assert pt.PatchConfig.from_json(config.to_json()) == config
+    for bad in ({"norm": "none"}, {"n_heads": 3}, {"seq_len": 4}):
+        with pytest.raises(ValueError):
+            pt.PatchConfig(**{"d_model": 8, **bad})
+    with pytest.raises(ValueError, match="depth"):
+        pt.PatchConfig.from_json('{"depth": 3}')
+
+
+def test_fit_head_learns(spark):
+    config = pt.PatchConfig(n_channels=1, seq_len=16, patch_len=8, stride=4, d_model=8, n_heads=2, n_layers=1, d_ff=8)
+    rng = np.random.default_rng(2)
+    y = rng.integers(0, 2, 200)
+    x = rng.normal(size=(200, 1, 16)) + np.linspace(0, 3, 16) * (2 * y - 1)[:, None, None]
+    weights = pt.fit_head(x, y, pt.init_weights(config), config, steps=150, rate=1e-2)
+    assert np.mean((pt.forward(weights, config, x) > 0) == y) > 0.9
+
+
+def test_command_line_options():
+    from tickloom.plans import cli
+
+    args = cli.parser().parse_args(["walk", "a", "b", "--target", "20:900", "--route", "maker:taker", "--fees", "2", "0.5"])
+    assert args.series == ["a", "b"] and args.target == [(20 * 1e-4, 900)] and args.route == ("maker", "taker") and args.fees == [2.0, 0.5]
+    assert cli.main(["stride", "1000000", "3", "500", "1"]) is None
+
+
 def test_patches(spark, bars):
     df = spark.createDataFrame([([float(i) for i in range(10)],)], "v array<double>")
     got = df.select(pt.patches(df.v, 4, 3).alias("p")).first().p
