@@ -368,17 +368,6 @@ def best_by_sharpe(spark, d):
     return sw.best_by_sharpe(_pool_digits(_pool(spark, d).drop("cost_bps")), ("gate",))
 
 
-def sweep_cells(spark, d):
-    bars = _day_bars(spark, d)
-    folds = sp.build_folds(bars, "holdout", TRAIN_MONTHS)
-    pooled, _ = sw.sweep(bars, folds, DAY_WINDOW, [(DAY_BARRIER, DAY_HORIZON)], COSTS, TAKER, trees=SMALL_TREES, quantiles=(0.8,))
-    return sw.best_by_sharpe(pooled)
-
-
-def common_gate(spark, d):
-    return si.common_gate(_pool(spark, d))
-
-
 # --- metrics ---
 
 
@@ -496,7 +485,7 @@ QUERIES = {
         tape_scan, tape_time_slice, tape_unit_inference, bars_sparse, bars_grid, bars_meta, bars_hourly, bars_splice_gap, dataset_stats, channels_full, channels_raw, features_7, rv_gate, rolling_metrics,
         windows_valid, triple_barrier, triple_barrier_join, targets_side, targets_gate, label_mix, training_matrix, split_purged, sequence_dataset, month_blocks, fold_masks, fold_rows_touched, month_slice,
         half_spread_roll, slippage_sweep, slippage_summary, slippage_hours, round_trip_costs, required_hit_rate, breakeven_curve, geometry_grid, geometry_shortlist, signals_momentum, maker_fills,
-        backtest_taker, backtest_maker, backtest_status, backtest_summary, backtest_daily, drawdown, gate_thresholds, signals_gated, pooled_grid, common_gate, best_by_sharpe, sweep_cells, auc_exact, binary_metrics, model_metrics, threshold_sweep, bootstrap_auc, bootstrap_sharpe,
+        backtest_taker, backtest_maker, backtest_status, backtest_summary, backtest_daily, drawdown, gate_thresholds, signals_gated, pooled_grid, common_gate, best_by_sharpe, auc_exact, binary_metrics, model_metrics, threshold_sweep, bootstrap_auc, bootstrap_sharpe,
         side_logistic, gate_trees, walkforward_grid, patch_instance_norm, patchify, patch_aux_stats, patch_scores, probability_exchange,
     )
 }
