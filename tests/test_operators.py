@@ -3,12 +3,15 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 
+from tickloom.functions.quantiles import exact_quantiles
 from tickloom.operators import barriers as br
 from tickloom.operators import costs as co
 from tickloom.operators import features as ft
 from tickloom.operators import metrics as me
+from tickloom.operators import models as mo
 from tickloom.operators import patch as pt
 from tickloom.operators import simulate as si
 from tickloom.operators import splits as sp
@@ -283,3 +286,74 @@ def test_patches(spark, bars):
     got = {r.start: r.p_up for r in pt.predict(c, ("log_return", "ofi"), starts, weights, config, chunk=64).collect()}
     for s in (0, 57, 500):
         assert got[s] == pytest.approx(1 / (1 + math.exp(-pt.forward(weights, config, x[None, :, s : s + 32])[0])))
+
+
+@pytest.mark.parametrize("n, ties", [(1, 1), (7, 1), (60_000, 1), (60_000, 5_000)])
+def test_exact_quantiles(spark, n, ties):
+    x = np.random.default_rng(n).lognormal(-18, 2, n)
+    x = x if ties == 1 else np.sort(x)[np.arange(n) // ties * ties]
+    rows = spark.createDataFrame(pd.DataFrame({"g": np.arange(n) % 2, "x": x})).unionByName(spark.createDataFrame([(0, None), (9, None)], "g long, x double"))
+    qs = (0.0, 0.5, 0.8, 0.95, 1.0)
+    got = {(r["g"], r["q"]): r["cut"] for r in exact_quantiles(rows, "x", qs, ("g",)).collect()}
+    want = {(g, q): np.quantile(x[g::2], q) for g in (0, 1) if len(x[g::2]) for q in qs}
+    assert got == pytest.approx(want, rel=1e-12)
+    assert {r["q"]: r["cut"] for r in exact_quantiles(rows, "x", qs).collect()} == pytest.approx({q: np.quantile(x, q) for q in qs}, rel=1e-12)
+
+
+def plain_auc(y, score):
+    up, down = score[y == 1], score[y == 0]
+    return ((up[:, None] > down).sum() + (up[:, None] == down).sum() / 2) / (len(up) * len(down))
+
+
+def test_block_bootstrap_auc(spark):
+    rng = np.random.default_rng(2)
+    n, block, draws = 300, 40, 25
+    y = rng.integers(0, 2, n)
+    score = np.round(y * 0.2 + rng.random(n), 2)
+    rows = spark.createDataFrame([(3 * i, int(y[i]), float(score[i])) for i in range(n)], "start long, y int, score double")
+    got = me.block_bootstrap_auc(rows, n_boot=draws, block=block, seed=5).first()
+    again, found = np.random.default_rng(5), []
+    for _ in range(draws):
+        at = np.concatenate([np.arange(s, s + block) for s in again.integers(0, n - block, n // block)])
+        found.append(plain_auc(y[at], score[at]))
+    assert (got["lo"], got["hi"]) == pytest.approx((np.percentile(found, 2.5), np.percentile(found, 97.5)))
+    assert got["p_le_half"] == pytest.approx(np.mean(np.array(found) <= 0.5)) and got["n_boot"] == draws
+
+
+def test_sharpe_interval(spark):
+    pnl = np.random.default_rng(4).normal(1, 3, 12)
+    days = [(i, float(p)) for i, p in enumerate(pnl)]
+    got = si.sharpe_interval(spark.createDataFrame(days[::-1], "day long, pnl_bps double"), draws=50, seed=9).first()
+    drawn = np.random.default_rng(9).integers(0, 12, (50, 12))
+    found = []
+    for row in drawn:
+        mean = sum(pnl[i] for i in row) / 12
+        found.append(mean / math.sqrt(sum((pnl[i] - mean) ** 2 for i in row) / 11) * math.sqrt(365))
+    assert (got["lo"], got["hi"]) == pytest.approx((np.percentile(found, 2.5), np.percentile(found, 97.5)))
+    few = si.sharpe_interval(spark.createDataFrame(days[:5], "day long, pnl_bps double")).first()
+    assert few["lo"] is None and few["hi"] is None
+
+
+def test_logistic_is_the_weighted_ridge_optimum(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(200, 2)) * (1, 1e-6)
+    y = (x[:, 0] + x[:, 1] * 1e6 + rng.normal(size=200) > 0.8).astype(float)
+    rows = spark.createDataFrame([(*map(float, r), float(t)) for r, t in zip(x, y)], "a double, b double, t double")
+    got = np.array([r["p"] for r in mo.fit_logistic(rows, "t", ("a", "b"))(rows, "p").orderBy("a").collect()])[np.argsort(np.argsort(x[:, 0]))]
+    z = np.column_stack([np.ones(200), (x - x.mean(0)) / x.std(0, ddof=1)])
+    weight, w = np.where(y == 1, 100 / y.sum(), 100 / (200 - y.sum())), np.zeros(3)
+    for _ in range(60):  # Newton's steps on the weighted loss with a unit ridge on the slopes
+        p = 1 / (1 + np.exp(-z @ w))
+        slope, bend = z.T @ (weight * (p - y)) + w * (0, 1, 1), (z.T * (weight * p * (1 - p))) @ z + np.diag((0, 1, 1))
+        w -= np.linalg.solve(bend, slope)
+    assert got == pytest.approx(1 / (1 + np.exp(-z @ w)), abs=1e-3)
+
+
+def test_one_tree_of_weighted_means(spark):
+    rows = [(float(side), float(i < ones)) for side, ones, n in ((0, 10, 80), (1, 30, 40)) for i in range(n)]
+    held = spark.createDataFrame(rows, "a double, t double")
+    score = mo.fit_trees(held, "t", ("a",), mo.Trees(rounds=1, depth=1, rows=1.0, columns="all", least=1))
+    got = {r["a"]: r["p"] for r in score(held, "p").distinct().collect() if r["t"] == 1}
+    heavy = 80 / 40  # negatives for each positive
+    want = {side: (heavy * p - q) / (heavy * p + q) for side, p, q in ((0.0, 10, 70), (1.0, 30, 10))}
+    assert got == pytest.approx({k: 1 / (1 + math.exp(-2 * v)) for k, v in want.items()}, abs=1e-6)

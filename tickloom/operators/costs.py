@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.constants import BPS, MAKER_FEE_BPS, MAX_WAIT, MEASURED_SLIPPAGE_BPS, ORDER_SIZE, QUEUE_AHEAD, SECONDS_PER_DAY, TAKER_FEE_BPS, TICK_SIZE
+from tickloom.functions.quantiles import exact_quantiles
 from tickloom.functions.scan import beside, over_frames
 from tickloom.sources.tape import with_divisor
 
@@ -68,7 +69,7 @@ def half_spread(bars: DataFrame, block: int = SECONDS_PER_DAY, least: int = 100)
     pairs = moved.withColumn("before", F.lag("d").over(inside))
     each = pairs.groupBy("block").agg(F.count("*").alias("n"), F.covar_samp("before", "d").alias("cov"))
     roll = each.filter((F.col("n") >= least) & (F.col("cov") < 0)).agg(F.count("*").alias("roll_blocks"), F.percentile(2 * F.sqrt(-F.col("cov")), 0.5).alias("spread"))
-    floor = bars.agg((F.lit(0.5 * TICK_SIZE / BPS) / F.percentile("price", 0.5)).alias("tick_floor_bps"))
+    floor = exact_quantiles(bars, "price", (0.5,)).agg((F.lit(0.5 * TICK_SIZE / BPS) / F.max("cut")).alias("tick_floor_bps"))
     both = beside(roll, floor).withColumn("roll", F.col("spread") / 2 / BPS)
     method = F.when(F.col("roll").isNull(), "tick floor (no block resolves)").when(F.col("roll") >= F.col("tick_floor_bps"), "Roll").otherwise("tick floor (above Roll)")
     return both.select(F.greatest(F.coalesce("roll", "tick_floor_bps"), "tick_floor_bps").alias("half_spread_bps"), method.alias("method"), "roll_blocks", "tick_floor_bps")
@@ -113,7 +114,8 @@ def sweep_slippage(tape: DataFrame, size: float = ORDER_SIZE, by: tuple[str, ...
 def slippage_summary(sweeps: DataFrame) -> DataFrame:
     """One row: mean, median, 95th percentile and number."""
     s = "slippage_bps"
-    return sweeps.agg(F.avg(s).alias("slippage_bps"), F.percentile(s, 0.5).alias("median_bps"), F.percentile(s, 0.95).alias("p95_bps"), F.count("*").alias("n_sweeps"))
+    cuts = exact_quantiles(sweeps, s, (0.5, 0.95)).agg(*(F.max(F.when(F.col("q") == q, F.col("cut"))).alias(n) for q, n in ((0.5, "median_bps"), (0.95, "p95_bps"))))
+    return beside(sweeps.agg(F.avg(s).alias(s), F.count("*").alias("n_sweeps")), cuts).select(s, "median_bps", "p95_bps", "n_sweeps")
 
 
 def estimate_slippage(tape: DataFrame, size: float = ORDER_SIZE, sample_hours: int = 24, seed: int = 3) -> DataFrame:

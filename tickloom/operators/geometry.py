@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.constants import BPS, SECONDS_PER_DAY
+from tickloom.functions.quantiles import exact_quantiles
 from tickloom.functions.scan import beside
 from tickloom.operators.barriers import triple_barrier
 from tickloom.operators.costs import required_hit_rate
@@ -20,7 +21,7 @@ def geometry_grid(bars: DataFrame, gate: DataFrame, window: int, barriers_bps: S
     hit rates that break even, hold and trades a day. Windows are the same for every cell, sized by the longest
     horizon; the gate (bar_idx, start, realized_variance) admits its upper share of them."""
     held = valid_windows(gate, bars, window, max(horizons))
-    cut = held.agg(F.percentile("realized_variance", gate_quantile).alias("_cut"))
+    cut = exact_quantiles(held, "realized_variance", (gate_quantile,)).select(F.col("cut").alias("_cut"))
     held = beside(held, cut).select("bar_idx", (F.col("realized_variance") >= F.col("_cut")).alias("admitted"))
     cells = [triple_barrier(bars, h, b * BPS).select("bar_idx", "side", "exit_offset", "defined", F.lit(float(b)).alias("barrier_bps"), F.lit(h).alias("horizon_s")) for h in horizons for b in barriers_bps]
     every = reduce(DataFrame.unionByName, cells).join(held, "bar_idx")

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.functions.quantiles import exact_quantiles
 from tickloom.operators import simulate as si
 from tickloom.operators.costs import Costs, Execution
 from tickloom.operators.models import SIDE_MODELS, Trees, run_fold
@@ -16,13 +17,7 @@ GATE_QUANTILES = (0.5, 0.8, 0.9)
 
 def gate_cuts(train: DataFrame, gates: dict[str, str], quantiles: tuple[float, ...] = GATE_QUANTILES) -> DataFrame:
     """(fold, gate, q, cut): exact quantiles of each gate's scores (name to column) over a fold's training windows."""
-    array = F.array(*map(F.lit, quantiles))
-    rows = None
-    for gate, column in gates.items():
-        pairs = F.transform(F.sequence(F.lit(0), F.lit(len(quantiles) - 1)), lambda i: F.struct(F.get(array, i).alias("q"), F.get(F.col("_c"), i).alias("cut")))
-        own = train.groupBy("fold").agg(F.percentile(column, array).alias("_c")).select("fold", F.lit(gate).alias("gate"), F.inline(pairs))
-        rows = own if rows is None else rows.unionByName(own)
-    return rows
+    return reduce(DataFrame.unionByName, [exact_quantiles(train, column, quantiles, ("fold",)).select("fold", F.lit(gate).alias("gate"), "q", "cut") for gate, column in gates.items()])
 
 
 def gated_windows(test: DataFrame, cuts: DataFrame, gates: dict[str, str]) -> tuple[DataFrame, DataFrame]:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.constants import FEATURES
+from tickloom.functions.quantiles import exact_quantiles
 from tickloom.functions.scan import beside
 from tickloom.operators import barriers as br
 from tickloom.operators import bars as bs
@@ -21,7 +22,7 @@ from tickloom.operators import simulate as si
 from tickloom.operators import splits as sp
 from tickloom.operators import sweep as sw
 from tickloom.plans import sql
-from tickloom.plans.sql import BAR, BARRIER, DAY_BARRIER, DAY_HORIZON, DAY_WINDOW, HALF_SPREAD, HORIZON, PURGE, ROUND_TRIP, SIZE, TRAIN_MONTHS, WINDOW
+from tickloom.plans.sql import BAR, BARRIER, DAY_BARRIER, DAY_HORIZON, DAY_WINDOW, HALF_SPREAD, HORIZON, PURGE, ROUND_TRIP, SAMPLE_HOURS, SIZE, TRAIN_MONTHS, WINDOW
 from tickloom.sources import tape as tp
 
 COSTS = co.Costs(half_spread_bps=HALF_SPREAD)
@@ -136,7 +137,7 @@ def features_7(spark, d):
 def rv_gate(spark, d):
     bars = _bars(spark, d)
     gate = ft.valid_windows(ft.rolling_realized_variance(bars, WINDOW), bars, WINDOW, HORIZON)
-    cut = gate.agg(F.percentile("realized_variance", 0.9).alias("cut"))
+    cut = exact_quantiles(gate, "realized_variance", (0.9,)).select("cut")
     return beside(gate, cut).select("start", "bar_idx", (F.col("realized_variance") >= F.col("cut")).alias("admitted"))
 
 
@@ -234,7 +235,8 @@ def slippage_summary(spark, d):
 
 
 def slippage_hours(spark, d):
-    return co.estimate_slippage(tp.events_tape(spark, d), 100.0, sample_hours=48)
+    rows = co.estimate_slippage(tp.events_tape(spark, d), SIZE, sample_hours=SAMPLE_HOURS)
+    return rows.select(_r("slippage_bps", 6), _r("median_bps", 6), _r("p95_bps", 6), "n_sweeps", "sample_hours")
 
 
 def round_trip_costs(spark, d):
@@ -332,7 +334,7 @@ def _grid(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     bars = _day_bars(spark, d)
     parts = sp.fold_windows(_day_windows(bars), sp.build_folds(bars, "rolling", TRAIN_MONTHS), PURGE)
     parts = parts.withColumn("rv", F.col("realized_variance")).persist()
-    cuts = gate_cuts(parts.filter("part = 'train'"), {"rv": "rv"})
+    cuts = gate_cuts(parts.filter("part = 'train'"), {"rv": "rv"}).persist()
     kept, keep = gated_windows(parts.filter("part = 'test'"), cuts, {"rv": "rv"})
     each = F.explode(F.array(F.struct(F.lit("momentum").alias("model"), _p_up(F.col("lookback_return")).alias("p_up")), F.struct(F.lit("reversal").alias("model"), _p_up(-F.col("lookback_return")).alias("p_up"))))
     scored = kept.withColumn("_m", each).select("_m.model", "fold", "gate", "q", "bar_idx", "_m.p_up")

@@ -5,10 +5,26 @@ from __future__ import annotations
 import math
 import re
 
+import numpy as np
+
 BAR, WINDOW, HORIZON, BARRIER = 600, 30, 60, 0.0006
 DAY_WINDOW, DAY_HORIZON, DAY_BARRIER, TRAIN_MONTHS = 5, 5, 0.0002, 24
 HALF_PI = math.pi / 2
 BPS = 1e-4
+SAMPLE_HOURS = 48
+#: The drawn hours of the events tape, which spans 719 whole hours at every scale.
+HOURS = ", ".join(map(str, sorted(np.random.default_rng(3).choice(719, SAMPLE_HOURS, replace=False).tolist())))
+
+
+def _sweeps(name: str, tape: str, by: str = "") -> str:
+    """Runs by one side that reach SIZE, of the whole tape or of each group of it by itself."""
+    part = f"PARTITION BY {by} " if by else ""
+    keys = f"{by}, run" if by else "run"
+    return f"""
+{name}runs0 AS (SELECT *, CASE WHEN maker = lag(maker) OVER ({part}ORDER BY time, trade_id) THEN 0 ELSE 1 END AS edge FROM {tape}),
+{name}runs AS (SELECT *, sum(edge) OVER ({part}ORDER BY time, trade_id ROWS UNBOUNDED PRECEDING) AS run FROM {name}runs0),
+{name}cum AS (SELECT *, sum(CAST(qty AS DECIMAL(28,10))) OVER w AS cq, sum(price * qty) OVER w AS paid, first_value(price) OVER w AS p0, first_value(trade_id) OVER w AS id0 FROM {name}runs WINDOW w AS (PARTITION BY {keys} ORDER BY time, trade_id ROWS UNBOUNDED PRECEDING)),
+{name}sweeps AS (SELECT id0 AS trade_id, (CASE WHEN maker THEN -1 ELSE 1 END) * ((paid - price * qty + price * CAST(100 - (cq - CAST(qty AS DECIMAL(28,10))) AS DOUBLE)) / 100 / p0 - 1) / {BPS} AS slip FROM {name}cum WHERE cq >= 100 AND cq - CAST(qty AS DECIMAL(28,10)) < 100)"""
 
 
 def _tape(name: str, table: str, key: str, stamp: str, cents: str, qty: str) -> str:
@@ -104,11 +120,11 @@ m_hop AS MATERIALIZED (SELECT a.*, b.bar_idx AS nxt FROM m_ok a ASOF LEFT JOIN m
 m_path AS (SELECT min(bar_idx) AS bar_idx FROM m_ok UNION ALL SELECT nxt FROM m_path JOIN m_hop USING (bar_idx) WHERE nxt IS NOT NULL),
 m_taken AS (SELECT m_ok.* FROM m_path JOIN m_ok USING (bar_idx)),
 wstats AS (SELECT * FROM (SELECT bar_idx - {WINDOW - 1} AS start, bar_idx, r, ofi, avg(r) OVER w AS rm, stddev_pop(r) OVER w AS rs, avg(ofi) OVER w AS om, stddev_pop(ofi) OVER w AS os FROM chan WINDOW w AS (ORDER BY bar_idx ROWS {WINDOW - 1} PRECEDING)) WHERE start >= 0),
-scored AS (SELECT start, CASE WHEN side > 0 THEN 1 ELSE 0 END AS y, round(ret * 1e4, 2) AS score, CASE WHEN ret > 0 THEN 0.7 WHEN ret < 0 THEN 0.3 ELSE 0.5 END AS p FROM valid JOIN tb USING (bar_idx) WHERE side <> 0 AND defined),
-runs0 AS (SELECT *, CASE WHEN maker = lag(maker) OVER (ORDER BY time, trade_id) THEN 0 ELSE 1 END AS edge FROM tape),
-runs AS (SELECT *, sum(edge) OVER (ORDER BY time, trade_id ROWS UNBOUNDED PRECEDING) AS run FROM runs0),
-cum AS (SELECT *, sum(CAST(qty AS DECIMAL(28,10))) OVER w AS cq, sum(price * qty) OVER w AS paid, first_value(price) OVER w AS p0, first_value(trade_id) OVER w AS id0 FROM runs WINDOW w AS (PARTITION BY run ORDER BY time, trade_id ROWS UNBOUNDED PRECEDING)),
-sweeps AS (SELECT id0 AS trade_id, (CASE WHEN maker THEN -1 ELSE 1 END) * ((paid - price * qty + price * CAST(100 - (cq - CAST(qty AS DECIMAL(28,10))) AS DOUBLE)) / 100 / p0 - 1) / {BPS} AS slip FROM cum WHERE cq >= 100 AND cq - CAST(qty AS DECIMAL(28,10)) < 100)""",
+scored AS (SELECT start, CASE WHEN side > 0 THEN 1 ELSE 0 END AS y, round(ret * 1e4, 2) AS score, CASE WHEN ret > 0 THEN 0.7 WHEN ret < 0 THEN 0.3 ELSE 0.5 END AS p FROM valid JOIN tb USING (bar_idx) WHERE side <> 0 AND defined)""",
+        _sweeps("", "tape"),
+        f"""
+hours AS (SELECT *, (time - t0) // 3600000000 AS hour FROM tape, (SELECT min(time) AS t0 FROM tape) WHERE (time - t0) // 3600000000 IN ({HOURS}))""",
+        _sweeps("h_", "hours", "hour"),
     ]
 )
 SIZE = 100.0  # the derived tape's quantities are in the tens
@@ -200,6 +216,7 @@ ORACLE_SQL = {
         "training_matrix": f"SELECT start, CASE WHEN side > 0 THEN 1 ELSE 0 END AS y, {_FEATURES} FROM feat JOIN tb USING (bar_idx) WHERE side <> 0 AND defined",
         "split_purged": f"SELECT start, CASE WHEN p < a - {WINDOW + HORIZON - 1} THEN 'train' WHEN p >= a AND p < b - {WINDOW + HORIZON - 1} THEN 'val' WHEN p >= b THEN 'test' END AS split FROM (SELECT start, row_number() OVER (ORDER BY start) - 1 AS p, CAST(floor(count(*) OVER () * 0.7::DOUBLE) AS BIGINT) AS a, CAST(floor(count(*) OVER () * (0.7::DOUBLE + 0.1::DOUBLE)) AS BIGINT) AS b FROM valid) WHERE (p < a - {WINDOW + HORIZON - 1} AND p % 3 = 0) OR (p >= a AND p < b - {WINDOW + HORIZON - 1} AND (p - a) % 2 = 0) OR p >= b",
         "sequence_dataset": f"SELECT split, count(*) AS n, round(avg(CASE WHEN side > 0 THEN 1.0 ELSE 0 END), 8) AS positive_rate FROM (SELECT bar_idx, CASE WHEN p < a - {WINDOW + HORIZON - 1} THEN 'train' WHEN p >= a AND p < b - {WINDOW + HORIZON - 1} THEN 'val' WHEN p >= b THEN 'test' END AS split FROM (SELECT start, bar_idx, row_number() OVER (ORDER BY start) - 1 AS p, CAST(floor(count(*) OVER () * 0.7::DOUBLE) AS BIGINT) AS a, CAST(floor(count(*) OVER () * (0.7::DOUBLE + 0.1::DOUBLE)) AS BIGINT) AS b FROM valid)) JOIN tb USING (bar_idx) WHERE split IS NOT NULL AND side <> 0 AND defined GROUP BY 1",
+        "probability_exchange": f"SELECT name AS fold, count(*) AS n, round(avg(CASE WHEN side > 0 THEN 0.7::DOUBLE ELSE 0.3::DOUBLE END), 6) AS mean FROM d_scored, ({_folds('holdout')}) WHERE start >= test_lo AND start < test_hi GROUP BY 1",
         "month_blocks": "SELECT month, lo, hi, n FROM d_months",
         "folds_anchored": _folds("anchored"),
         "folds_rolling": _folds("rolling"),
@@ -210,6 +227,7 @@ ORACLE_SQL = {
         "half_spread_roll": f"SELECT round(greatest(coalesce(roll, floor_bps), floor_bps), 6) AS half_spread_bps, CASE WHEN roll IS NULL THEN 'tick floor (no block resolves)' WHEN roll >= floor_bps THEN 'Roll' ELSE 'tick floor (above Roll)' END AS method, roll_blocks, round(floor_bps, 8) AS tick_floor_bps FROM (SELECT count(*) AS roll_blocks, quantile_cont(2 * sqrt(-cov), 0.5) / 2 / {BPS} AS roll FROM (SELECT b, count(*) AS n, covar_samp(before, d) AS cov FROM (SELECT b, d, lag(d) OVER (PARTITION BY b ORDER BY bar_idx) AS before FROM (SELECT bar_idx, bar_idx // 144 AS b, r AS d FROM chan WHERE bar_idx % 144 <> 0 AND r <> 0), len WHERE b * 144 < n - 144) GROUP BY 1) WHERE n >= 100 AND cov < 0), (SELECT 0.005 / quantile_cont(price, 0.5) / {BPS} AS floor_bps FROM bars)",
         "slippage_sweep": "SELECT trade_id, round(slip, 6) + 0 AS slippage_bps FROM sweeps",
         "slippage_summary": "SELECT round(avg(slip), 6) AS slippage_bps, round(quantile_cont(slip, 0.5), 6) AS median_bps, round(quantile_cont(slip, 0.95), 6) AS p95_bps, count(*) AS n_sweeps FROM sweeps",
+        "slippage_hours": f"SELECT round(avg(slip), 6) AS slippage_bps, round(quantile_cont(slip, 0.5), 6) AS median_bps, round(quantile_cont(slip, 0.95), 6) AS p95_bps, count(*) AS n_sweeps, {SAMPLE_HOURS} AS sample_hours FROM h_sweeps",
         "round_trip_costs": "SELECT e.x AS entry, o.x AS exit, round(e.c + o.c, 6) AS round_trip_bps FROM (VALUES ('taker', 2.5 + 0.01 + 0.076), ('maker', 0.0)) e(x, c), (VALUES ('taker', 2.5 + 0.01 + 0.076), ('maker', 0.0)) o(x, c)",
         "required_hit_rate": "SELECT CAST(rho AS DOUBLE) AS rho, CAST(g AS DOUBLE) AS captured, CAST(c AS DOUBLE) AS cost, CASE WHEN rho * g > 0 THEN round(0.5 * (1 + c / (rho * g)), 6) END AS h FROM (VALUES (0.0), (0.3), (0.575), (1.0)) a(rho), (VALUES (6.0), (40.0), (61.9)) b(g), (VALUES (5.15), (6.0)) k(c)",
         "breakeven_curve": "SELECT CAST(c AS DOUBLE) AS cost_bps, round(0.505 + i * (0.8 - 0.505) / 399, 8) AS hit_rate, round(c / (2 * (0.505 + i * (0.8 - 0.505) / 399) - 1), 6) AS barrier_bps FROM (SELECT unnest(generate_series(0, 399)) AS i), (VALUES (5.15), (2.65), (0.1)) t(c)",
