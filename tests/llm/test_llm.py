@@ -458,6 +458,16 @@ def test_window_distances_against_plain_compression():
     assert got[marked].mean() > 2 > 0.5 > abs(got[~marked]).mean()
 
 
+@pytest.mark.parametrize("limit", [1, 7, 400, 10_000])
+def test_least_hashed_of_each_class(spark, limit):
+    rows = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(6000)], "id long, toxic int")
+    hashed = F.xxhash64("id")
+    got = {(r.toxic, r.id) for r in toxicity._least(rows, hashed, limit, toxicity._class_counts(rows)).collect()}
+    held = sorted((r.toxic, r.h, r.id) for r in rows.withColumn("h", hashed).collect())
+    assert got == {(k, i) for kind in (0, 1) for k, _, i in [x for x in held if x[0] == kind][:limit]}
+    assert toxicity._least(rows.limit(0), hashed, limit, {}).count() == 0
+
+
 def test_toxicity(spark, none):
     rng = np.random.default_rng(4)
     plain = [f"{a}{b}{c}" for a in ("th", "er", "st", "ou") for b in ("on", "at", "in") for c in ("", "ed", "re")]

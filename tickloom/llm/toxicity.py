@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, texts_of
+from .common import discard, materialize, prepare, texts_of
 
 #: Bytes that stay: ASCII letters in lower case and all bytes of other letters; the rest separate words.
 _LETTERS = bytes((b | 32) if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -141,13 +141,31 @@ def _held_out(folds: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == 0, F.lit(False))
 
 
+def _least(rows: DataFrame, hashed: Column, limit: int, totals: dict[int, int]) -> DataFrame:
+    """The `limit` rows of each class (toxic) whose hashes are least, ties by all columns.
+
+    Rows whose hash lies far above what `limit` of a class's rows take go first, so the task that ranks a class reads
+    some 2 * limit rows however large the class; that fewer than `limit` stay has no measurable chance."""
+    end = F.lit(2.0**63)
+    for kind, n in totals.items():
+        share = (2 * limit + 100) / n
+        if share < 1:
+            end = F.when(F.col("toxic") == kind, F.lit(2.0**64 * share - 2.0**63)).otherwise(end)
+    held = rows.withColumn("_h", hashed).filter(F.col("_h") <= end)
+    nth = F.row_number().over(Window.partitionBy("toxic").orderBy("_h", *(c for c in rows.columns if c != "toxic")))
+    return held.withColumn("_nth", nth).filter(F.col("_nth") <= limit).select(rows.columns)
+
+
+def _class_counts(rows: DataFrame) -> dict[int, int]:
+    return {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+
+
 def _learn_from(labels: DataFrame, folds: int, per_class: int) -> tuple[DataFrame, dict[int, int]]:
     """(id, toxic, part) of at most per_class labelled documents of each class outside the held-out fold, by a hash of
     the id, and each class's number of labelled documents. Part 0 of 3 calibrates, the others train."""
     each = labels.filter("doc_id is not null and toxic in (0, 1)").filter(~_held_out(folds)).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    total = {r["toxic"]: r["count"] for r in each.groupBy("toxic").count().collect()}
-    nth = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("id"), "id"))
-    ids = each.withColumn("nth", nth).filter(F.col("nth") <= per_class)
+    total = _class_counts(each)
+    ids = _least(each, F.xxhash64("id"), per_class, total)
     return ids.select("id", "toxic", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(3)).alias("part")), total
 
 
@@ -169,8 +187,9 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, per_class: int = 400
                 yield pa.record_batch([pa.array([kind] * len(found), pa.int32()), pa.array(found, pa.binary())], names=["toxic", "window"])
 
     held = read.filter("part != 0").select("toxic", "text").mapInArrow(cut, "toxic int, window binary").distinct()
-    nth = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("window"), "window"))
-    held = held.withColumn("nth", nth).filter(F.col("nth") <= per_class_windows).select("toxic", "window").toPandas().sort_values(["toxic", "window"])
+    each = materialize(held, "windows")
+    held = _least(each, F.xxhash64("window"), per_class_windows, _class_counts(each)).toPandas().sort_values(["toxic", "window"])
+    discard(each)
     found = fit_dictionaries(*([bytes(w) for w in held.window[held.toxic == k]] for k in (1, 0)))
     if found is None:
         return None
