@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tickloom.constants import FEATURES
 from tickloom.functions.quantiles import exact_quantiles
 from tickloom.functions.scan import beside
+from tickloom.functions.stored import settle
 from tickloom.operators import barriers as br
 from tickloom.operators import bars as bs
 from tickloom.operators import costs as co
@@ -40,7 +41,7 @@ def _bars(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _day_bars(spark: SparkSession, d: str) -> DataFrame:
-    return bs.fold_bars(tp.orders_tape(spark, d), 86_400).persist()
+    return settle(bs.fold_bars(tp.orders_tape(spark, d), 86_400), "day-bars")  # read by many steps of long plans
 
 
 def _features(spark: SparkSession, d: str) -> DataFrame:
@@ -333,8 +334,8 @@ def _grid(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
 
     bars = _day_bars(spark, d)
     parts = sp.fold_windows(_day_windows(bars), sp.build_folds(bars, "rolling", TRAIN_MONTHS), PURGE)
-    parts = parts.withColumn("rv", F.col("realized_variance")).persist()
-    cuts = gate_cuts(parts.filter("part = 'train'"), {"rv": "rv"}).persist()
+    parts = settle(parts.withColumn("rv", F.col("realized_variance")), "fold-windows")
+    cuts = settle(gate_cuts(parts.filter("part = 'train'"), {"rv": "rv"}), "cuts")
     kept, keep = gated_windows(parts.filter("part = 'test'"), cuts, {"rv": "rv"})
     each = F.explode(F.array(F.struct(F.lit("momentum").alias("model"), _p_up(F.col("lookback_return")).alias("p_up")), F.struct(F.lit("reversal").alias("model"), _p_up(-F.col("lookback_return")).alias("p_up"))))
     scored = kept.withColumn("_m", each).select("_m.model", "fold", "gate", "q", "bar_idx", "_m.p_up")
@@ -353,8 +354,9 @@ def signals_gated(spark, d):
 def _pool(spark, d) -> DataFrame:
     bars, _, signals, keep = _grid(spark, d)
     by = ("model", "fold", "gate", "q")
-    told = si.admit(signals.persist(), bars, br.triple_barrier(bars, DAY_HORIZON, DAY_BARRIER).persist(), DAY_HORIZON, TAKER, by).persist()
-    return si.pool(told, si.price_trades(told, bars, ROUND_TRIP, by), keep, ROUND_TRIP)
+    barriers = settle(br.triple_barrier(bars, DAY_HORIZON, DAY_BARRIER), "barriers")
+    told = settle(si.admit(settle(signals, "signals"), bars, barriers, DAY_HORIZON, TAKER, by), "admitted")
+    return si.pool(told, settle(si.price_trades(told, bars, ROUND_TRIP, by), "trades"), settle(keep, "keep"), ROUND_TRIP)
 
 
 def _pool_digits(rows: DataFrame) -> DataFrame:
