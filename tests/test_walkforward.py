@@ -29,3 +29,9 @@ def test_plan_of_pooled_grid_is_small(spark, sf_dir):
     rows = got.collect()
     assert {(r["model"], r["gate"], r["q"]) for r in rows} == {(m, g, q) for m in ("momentum", "reversal") for g, q in (("none", 0.0), ("rv", 0.5), ("rv", 0.8), ("rv", 0.9))}
     assert all(r["n_folds"] == 6 for r in rows if r["gate"] == "none")
+
+
+def test_plan_of_best_by_sharpe_is_small(spark, sf_dir):
+    got = qs.best_by_sharpe(spark, sf_dir)
+    assert operators(got) < 100
+    assert sorted(r["gate"] for r in got.collect()) == ["none", "rv"]
