@@ -35,3 +35,9 @@ def test_plan_of_best_by_sharpe_is_small(spark, sf_dir):
     got = qs.best_by_sharpe(spark, sf_dir)
     assert operators(got) < 100
     assert sorted(r["gate"] for r in got.collect()) == ["none", "rv"]
+
+
+def test_plan_of_common_gate_is_small(spark, sf_dir):
+    got = qs.common_gate(spark, sf_dir)
+    assert operators(got) < 100
+    assert [tuple(r) for r in got.collect()] == [("rv", 0.9)]
