@@ -41,3 +41,14 @@ def test_plan_of_common_gate_is_small(spark, sf_dir):
     got = qs.common_gate(spark, sf_dir)
     assert operators(got) < 100
     assert [tuple(r) for r in got.collect()] == [("rv", 0.9)]
+
+
+def test_plan_of_walkforward_grid_is_small(spark, sf_dir):
+    got = qs.walkforward_grid(spark, sf_dir)
+    assert operators(got) < 100
+    rows = got.collect()
+    gates = [("none", 0.0)] + [(g, q) for g in ("rv", "trained") for q in (0.5, 0.8, 0.9)]
+    assert {(r["model"], r["gate"], r["q"]) for r in rows} == {(m, g, q) for m in ("logistic_7", "trees") for g, q in gates}
+    none = [r for r in rows if r["gate"] == "none"]
+    assert all(r["gate_keep_frac"] == 1.0 for r in none)
+    assert len({r["n_trades"] for r in none}) == 1  # who is right does not change when a position ends

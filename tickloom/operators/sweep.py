@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tickloom.constants import BPS, purge_length
 from tickloom.functions.scan import beside
+from tickloom.functions.stored import settle
 from tickloom.operators import barriers as br
 from tickloom.operators import features as ft
 from tickloom.operators import metrics as me
@@ -35,8 +36,8 @@ def evaluate_cell(
     """
     ft.check_windows(bars, window, horizon)
     windows, told = cell_windows(bars, window, horizon, barrier)
-    windows, told = windows.persist(), told.persist()
-    held = sp.fold_windows(windows, folds, purge_length(window, horizon), train_stride).persist()
+    windows, told = settle(windows, "cell-windows"), settle(told, "barriers")
+    held = settle(sp.fold_windows(windows, folds, purge_length(window, horizon), train_stride), "fold-windows")
     pooled, scored = walk_forward(bars, held, told, horizon, costs, execution, trees, ("trees",), quantiles=quantiles, with_scores=True)
     scored = scored.join(held.filter("part = 'test'").select("fold", "bar_idx", F.col("touched").cast("int").alias("t"), "y"), ["fold", "bar_idx"])
     gate = me.auc(scored, ("fold",), "t", "gate_trained").select("fold", F.col("auc").alias("gate_auc"))

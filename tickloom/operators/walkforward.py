@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.quantiles import exact_quantiles
+from tickloom.functions.stored import settle
 from tickloom.operators import simulate as si
 from tickloom.operators.costs import Costs, Execution
 from tickloom.operators.models import SIDE_MODELS, Trees, run_fold
@@ -38,8 +39,9 @@ def walk_forward(
 ) -> DataFrame | tuple[DataFrame, DataFrame]:
     """The pooled out-of-sample grid over model x gate x quantile, of windows in folds (fold, part, ...).
 
-    Models are fitted one fold after the other; their scores become one table, and signals, execution and pooling of
-    all configurations are one plan. outside: probabilities (fold, start, p_up) of other models by name. with_scores:
+    Models are fitted one fold after the other, and each fold's scores are settled, so that no plan holds the models;
+    the scores become one table, and signals, execution and pooling of all configurations go through it step by step,
+    each settled. bars, windows and barriers should be settled or read from files by the caller. outside: probabilities (fold, start, p_up) of other models by name. with_scores:
     also the test windows' scores (fold, bar_idx, gate_trained, gate_rv, p_<model>...).
     """
     from tickloom.operators.models import join_probabilities
@@ -51,16 +53,17 @@ def walk_forward(
         train, test = run_fold(windows, row["fold"], trees, side_models)
         for name, told in (outside or {}).items():
             test = join_probabilities(test, told.filter(F.col("fold") == row["fold"]), name)
-        trains.append(train.select("fold", "gate_trained", "gate_rv"))
-        tests.append(test.select("fold", "bar_idx", "gate_trained", "gate_rv", *(f"p_{n}" for n in names)))
-    train, test = (reduce(DataFrame.unionByName, x).persist() for x in (trains, tests))
+        trains.append(settle(train.select("fold", "gate_trained", "gate_rv"), "train-scores"))
+        tests.append(settle(test.select("fold", "bar_idx", "gate_trained", "gate_rv", *(f"p_{n}" for n in names)), "test-scores"))
+    train, test = (reduce(DataFrame.unionByName, x) for x in (trains, tests))
     gates = {"rv": "gate_rv", "trained": "gate_trained"}
-    kept, keep = gated_windows(test, gate_cuts(train, gates, quantiles), gates)
+    kept, keep = gated_windows(test, settle(gate_cuts(train, gates, quantiles), "cuts"), gates)
     each = F.inline(F.array(*(F.struct(F.lit(n).alias("model"), F.col(f"p_{n}").alias("p_up")) for n in names)))
     scored = kept.select("fold", "gate", "q", "bar_idx", each)
-    signals = si.signals_from_probabilities(scored, 0.5 + margin, 0.5 - margin).persist()
-    keep = keep.withColumn("model", F.explode(F.array(*map(F.lit, names))))
+    signals = settle(si.signals_from_probabilities(scored, 0.5 + margin, 0.5 - margin), "signals")
+    keep = settle(keep.withColumn("model", F.explode(F.array(*map(F.lit, names)))), "keep")
     by = ("model", "fold", "gate", "q")
-    told = si.admit(signals, bars, barriers, horizon, execution, by).persist()
-    pooled = si.pool(told, si.price_trades(told, bars, costs.round_trip_bps(execution), by), keep, costs.round_trip_bps(execution))
+    told = settle(si.admit(signals, bars, barriers, horizon, execution, by), "admitted")
+    trades = settle(si.price_trades(told, bars, costs.round_trip_bps(execution), by), "trades")
+    pooled = si.pool(told, trades, keep, costs.round_trip_bps(execution))
     return (pooled, test) if with_scores else pooled

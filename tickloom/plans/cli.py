@@ -7,6 +7,7 @@ import argparse
 from pyspark.sql import DataFrame
 
 from tickloom import constants as k
+from tickloom.functions.stored import settle
 from tickloom.operators import bars, costs, features, geometry, splits, sweep
 from tickloom.operators.walkforward import walk_forward
 from tickloom.plans import report
@@ -84,9 +85,9 @@ def _result(spark, args) -> DataFrame:
     barrier, horizon = targets[0]
     features.check_windows(series, args.lookback, horizon)
     windows, told = sweep.cell_windows(series, args.lookback, horizon, barrier)
-    held = splits.fold_windows(windows, folds, k.purge_length(args.lookback, horizon), args.thin).persist()
+    held = splits.fold_windows(windows, folds, k.purge_length(args.lookback, horizon), args.thin)
     outside = {"outside": spark.read.parquet(args.outside)} if args.outside else None
-    return walk_forward(series, held, told.persist(), horizon, paid, how, outside=outside, margin=args.unsure)
+    return walk_forward(series, settle(held, "fold-windows"), settle(told, "barriers"), horizon, paid, how, outside=outside, margin=args.unsure)
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -427,7 +427,8 @@ def _model_windows(spark, d, scheme: str = "holdout") -> tuple[DataFrame, DataFr
     bars = _day_bars(spark, d)
     held = ft.valid_windows(ft.window_features(bars, DAY_WINDOW), bars, DAY_WINDOW, DAY_HORIZON)
     told = br.triple_barrier(bars, DAY_HORIZON, DAY_BARRIER).select("bar_idx", ((F.col("side") != 0) & F.col("defined")).alias("touched"), (F.col("side") > 0).cast("int").alias("y"))
-    return bars, sp.fold_windows(held.join(told, "bar_idx"), sp.build_folds(bars, scheme, TRAIN_MONTHS), PURGE).persist()
+    windows = sp.fold_windows(held.join(told, "bar_idx"), sp.build_folds(bars, scheme, TRAIN_MONTHS), PURGE)
+    return bars, settle(windows, "fold-windows")
 
 
 def _fold_scores(spark, d, side_models: tuple[str, ...]) -> tuple[DataFrame, str, DataFrame, DataFrame]:
@@ -452,7 +453,7 @@ def walkforward_grid(spark, d):
     from tickloom.operators.walkforward import walk_forward
 
     bars, windows = _model_windows(spark, d)
-    barriers = br.triple_barrier(bars, DAY_HORIZON, DAY_BARRIER).persist()
+    barriers = settle(br.triple_barrier(bars, DAY_HORIZON, DAY_BARRIER), "barriers")
     return walk_forward(bars, windows, barriers, DAY_HORIZON, COSTS, TAKER, SMALL_TREES, ("logistic_7", "trees"))
 
 
