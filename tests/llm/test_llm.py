@@ -122,6 +122,29 @@ def test_near_texts_against_brute_force(spark, tile):
     assert near_text.keep_one(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+@pytest.mark.parametrize("tile", [2, 1024])
+def test_near_texts_within_the_fingerprints_radius(spark, tile):
+    """Without one MinHash band: what lies within 3 bits of five-word SimHash shares a key, and is then compared whole."""
+    rng = np.random.default_rng(8)
+    texts = []
+    for _ in range(6):
+        base = [f"w{k}" for k in rng.integers(0, 10**6, 1500)]
+        for _ in range(3):
+            texts.append(" ".join(base))
+            base = list(base)
+            base[int(rng.integers(1500))] = "other"
+    fp = np.array([simhash.majority(near_text.shingles(t.encode())) for t in texts], np.uint64)
+    assert [int(x) for x in fp] == [simhash.fingerprint(t.encode(), 5) for t in texts]  # no shingle repeats in these
+    label = plain_groups((np.bitwise_count(fp[:, None] ^ fp) <= 3) & (np.arange(len(fp))[:, None] // 3 == np.arange(len(fp)) // 3))
+    assert len(set(label)) < len(texts)
+    rows = [(i, int(p.astype(np.int64)), [], t.encode()) for i, (p, t) in enumerate(zip(fp, texts))]
+    rows.append((99, rows[0][1], [], b"an equal fingerprint of another text"))
+    held = spark.createDataFrame(rows, "node long, fp long, keys array<long>, words binary")
+    found = {r.node: r.component for r in connected_components(near_text._links(held, None, simhash.block_keys(len(rows), 3), tile)).collect()}
+    assert all(found.get(i, i) == found.get(int(label[i]), int(label[i])) for i in range(len(texts)))
+    assert all(k // 3 == v // 3 for k, v in found.items()) and 99 not in found
+
+
 @pytest.mark.parametrize("n", [1, 1000, 10**9])
 @pytest.mark.parametrize("tile", [3, 2048])
 def test_near_edges_lose_no_link(spark, n, tile):

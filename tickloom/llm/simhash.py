@@ -9,7 +9,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, prepare, sorted_groups, texts_of
@@ -31,7 +31,12 @@ def fingerprint(text: bytes, width: int = 3) -> int:
     last = min(width, len(words)) - 1
     n = len(words) - last
     digest, view = xxhash.xxh64_intdigest, memoryview(flat)
-    hashes = np.fromiter((digest(view[i:j], SEED) for i, j in zip(starts[:n].tolist(), (ends[last:] - 1).tolist())), "<u8", n)
+    return majority(np.fromiter((digest(view[i:j], SEED) for i, j in zip(starts[:n].tolist(), (ends[last:] - 1).tolist())), "<u8", n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; 0 without any."""
+    n = len(hashes)
     ones = np.zeros(64, np.int64)
     for lo in range(0, n, 1 << 15):
         part = hashes[lo : lo + (1 << 15)].view(np.uint8).reshape(-1, 8)
@@ -87,15 +92,20 @@ def block_plan(n: int, distance: int) -> tuple[list[tuple[int, int]], list[tuple
     return list(zip(edges[:-1], edges[1:])), keys
 
 
-def near_edges(nodes: DataFrame, n: int, distance: int = 3, tile: int = TILE) -> DataFrame:
-    """Edges (a, b) between nodes (node, fp) of distinct fp that connect whatever lies within the distance."""
+def block_keys(n: int, distance: int) -> Column:
+    """The keys of block_plan as an array, of the column fp."""
     blocks, keys = block_plan(n, distance)
 
     def masked(key: tuple[int, ...]):
         mask = sum(((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in (blocks[i] for i in key))
         return F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))
 
-    keyed = nodes.select("node", "fp", F.posexplode(F.array(*map(masked, keys))).alias("k", "key"))
+    return F.array(*map(masked, keys))
+
+
+def near_edges(nodes: DataFrame, n: int, distance: int = 3, tile: int = TILE) -> DataFrame:
+    """Edges (a, b) between nodes (node, fp) of distinct fp that connect whatever lies within the distance."""
+    keyed = nodes.select("node", "fp", F.posexplode(block_keys(n, distance)).alias("k", "key"))
     sizes = keyed.groupBy("k", "key").agg(F.count("*").alias("size")).filter("size > 1")
     keyed = keyed.join(sizes, ["k", "key"])
     chunks = F.ceil(F.col("size") / F.lit(tile)).cast("int")
