@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -11,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.constants import FEATURES
+from tickloom.functions import fits
+from tickloom.session import reachable
 
 
 @dataclass(frozen=True)
@@ -97,6 +100,33 @@ def run_fold(windows: DataFrame, fold: str, trees: Trees = Trees(), side_models:
     return scored[0], scored[1]
 
 
+#: Windows of a fold, train and test, that one task fits and scores; a larger fold is fitted by pyspark.ml over all tasks.
+ONE_TASK = 200_000
+
+
+def run_folds(windows: DataFrame, n_folds: int, trees: Trees = Trees(), side_models: tuple[str, ...] = tuple(SIDE_MODELS)) -> DataFrame:
+    """What run_fold gives, for all folds of windows at once, as (fold, part, start, bar_idx, gate_trained, gate_rv,
+    p_<model>...): each fold, of ONE_TASK windows at most, is fitted inside one task. p_<model> is null on train."""
+    reachable(windows.sparkSession)
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values(["part", "start"], kind="stable")
+        train, touched = (own.part == "train").to_numpy(), own.touched.to_numpy(bool)
+        if own[list(FEATURES)].isna().to_numpy().any() or not (train & touched).any():
+            raise ValueError(f"fold {own.fold.iloc[0]!r} has undefined features or no touched training window")
+        out = own[["fold", "part", "start", "bar_idx"]].assign(gate_trained=fits.boosted(own[list(FEATURES)].to_numpy(float), touched.astype(int), train, trees), gate_rv=own.realized_variance)
+        for name in side_models:
+            kind, columns = SIDE_MODELS[name]
+            x, y, learn = own[list(columns)].to_numpy(float), own.y.to_numpy(), train & touched
+            p = fits.boosted(x, y, learn, trees) if kind == "trees" else fits.logistic(x, y, learn)
+            out[f"p_{name}"] = pd.Series(p, own.index).where(~train)
+        return out
+
+    slim = windows.select("fold", "part", "start", "bar_idx", "touched", "y", *FEATURES)
+    fields = "fold string, part string, start long, bar_idx long, gate_trained double, gate_rv double" + "".join(f", p_{n} double" for n in side_models)
+    return slim.repartition(n_folds, "fold").groupBy("fold").applyInPandas(run, fields)  # a number of tasks of its own, as adaptive execution would join such small ones
+
+
 def join_probabilities(test: DataFrame, probabilities: DataFrame, name: str) -> DataFrame:
     """Test windows with an outside model's probabilities (fold, start, p_up) as p_<name>.
 

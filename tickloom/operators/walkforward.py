@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.quantiles import exact_quantiles
 from tickloom.functions.stored import settle
+from tickloom.operators import models as mo
 from tickloom.operators import simulate as si
 from tickloom.operators.costs import Costs, Execution
-from tickloom.operators.models import SIDE_MODELS, Trees, run_fold
+from tickloom.operators.models import SIDE_MODELS, Trees
 
 GATE_QUANTILES = (0.5, 0.8, 0.9)
 
@@ -39,20 +40,24 @@ def walk_forward(
 ) -> DataFrame | tuple[DataFrame, DataFrame]:
     """The pooled out-of-sample grid over model x gate x quantile, of windows in folds (fold, part, ...).
 
-    Models are fitted one fold after the other, and each fold's scores are settled, so that no plan holds the models;
-    the scores become one table, and signals, execution and pooling of all configurations go through it step by step,
-    each settled. bars, windows and barriers should be settled or read from files by the caller. outside: probabilities (fold, start, p_up) of other models by name. with_scores:
+    Folds of at most models.ONE_TASK windows are fitted in tasks, all at once, larger ones by pyspark.ml, one after the
+    other. Each fit's scores are settled, so that no plan holds the models; they become one table, and signals,
+    execution and pooling of all configurations go through it step by step, each settled. bars, windows and barriers should be settled or read from files by the caller. outside: probabilities (fold, start, p_up) of other models by name. with_scores:
     also the test windows' scores (fold, bar_idx, gate_trained, gate_rv, p_<model>...).
     """
-    from tickloom.operators.models import join_probabilities
-
     costs = costs.with_spread(bars)
     names = [*side_models, *(outside or {})]
     trains, tests = [], []
-    for row in windows.select("fold").distinct().orderBy("fold").collect():  # a row for each fold
-        train, test = run_fold(windows, row["fold"], trees, side_models)
+    sizes = {r["fold"]: r["count"] for r in windows.groupBy("fold").count().orderBy("fold").collect()}  # a row for each fold
+    small = [f for f, n in sizes.items() if n <= mo.ONE_TASK]
+    for folds in ([small] if small else []) + [[f] for f in sizes if f not in small]:
+        if folds is small:
+            scored = settle(mo.run_folds(windows.filter(F.col("fold").isin(small)), len(small), trees, side_models), "fold-scores")
+            train, test = scored.filter("part = 'train'"), scored.filter("part = 'test'")
+        else:
+            train, test = mo.run_fold(windows, folds[0], trees, side_models)
         for name, told in (outside or {}).items():
-            test = join_probabilities(test, told.filter(F.col("fold") == row["fold"]), name)
+            test = mo.join_probabilities(test, told.filter(F.col("fold").isin(folds)), name)
         trains.append(settle(train.select("fold", "gate_trained", "gate_rv"), "train-scores"))
         tests.append(settle(test.select("fold", "bar_idx", "gate_trained", "gate_rv", *(f"p_{n}" for n in names)), "test-scores"))
     train, test = (reduce(DataFrame.unionByName, x) for x in (trains, tests))

@@ -417,7 +417,7 @@ def bootstrap_sharpe(spark, d):
 
 # --- models and patches ---
 
-#: Small trees, so that a query takes seconds; the operators' defaults are the study's.
+#: Small trees for side_logistic and gate_trees, so that a query takes seconds; the operators' defaults are the study's.
 SMALL_TREES = mo.Trees(rounds=5, depth=3, least=8)
 PATCH = pt.PatchConfig(n_channels=2, seq_len=WINDOW, patch_len=8, stride=4, d_model=16, n_heads=2, n_layers=2, d_ff=32)
 PATCH_CHANNELS = ("log_return", "ofi")
@@ -452,9 +452,9 @@ def gate_trees(spark, d):
 def walkforward_grid(spark, d):
     from tickloom.operators.walkforward import walk_forward
 
-    bars, windows = _model_windows(spark, d)
+    bars, windows = _model_windows(spark, d, "anchored")
     barriers = settle(br.triple_barrier(bars, DAY_HORIZON, DAY_BARRIER), "barriers")
-    return walk_forward(bars, windows, barriers, DAY_HORIZON, COSTS, TAKER, SMALL_TREES, ("logistic_7", "trees"))
+    return walk_forward(bars, windows, barriers, DAY_HORIZON, COSTS, TAKER, side_models=("logistic_7", "trees"))
 
 
 def patch_instance_norm(spark, d):
